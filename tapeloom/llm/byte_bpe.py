@@ -148,9 +148,9 @@ class Pairs:
     Ids are ranks, so the least value is the pair to merge first. NEVER stands for a pair that does not merge.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        joined = [(ranks[w[:i]] << 32 | ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
-        keys, values = np.array([k for k, _ in joined], np.int64), np.array([v for _, v in joined], np.int32)
+    def __init__(self, joined: dict[tuple[int, int], int]):
+        keys = np.array([a << 32 | b for a, b in joined], np.int64)
+        values = np.array(list(joined.values()), np.int32)
         self.bits = max(8, 2 + len(keys).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int32)
         slots = self._slot(keys)
@@ -179,13 +179,18 @@ class Pairs:
         return out
 
 
-def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: Pairs) -> list[bytes]:
-    """Packed ids of many short pieces: each round merges every piece's lowest, leftmost pair and drops one column."""
+def merge_many(pieces: list[bytes], byte_ids: np.ndarray, pairs: Pairs, last_ids: np.ndarray | None = None) -> list[bytes]:
+    """Packed ids of many short pieces: each round merges every piece's lowest, leftmost pair and drops one column.
+
+    last_ids: the ids of bytes that end a piece, where the vocabulary tells them apart.
+    """
     width = max(map(len, pieces))
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
     out: list = [None] * len(pieces)
     who, ids = np.arange(len(pieces)), byte_ids.take(raw)
+    if last_ids is not None:
+        ids[who, lengths - 1] = last_ids.take(raw[who, lengths - 1])
     ranks = np.full((len(pieces), width), NEVER, np.int32)
     if width > 1:
         ranks[:, :-1] = pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, width - 1)
@@ -247,7 +252,8 @@ class Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.pairs = ranks, Pairs(ranks)
+        self.ranks = ranks
+        self.pairs = Pairs({(ranks[w[:i]], ranks[w[i:]]): r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def prepare(self, wanted: set[str]) -> None:
