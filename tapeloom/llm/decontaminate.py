@@ -15,7 +15,6 @@ documents give a row each, whatever their ids.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -123,6 +122,29 @@ def shingle_frequency(docs: DataFrame, shingles: set[tuple[bytes, ...]]) -> dict
     return out
 
 
+def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of df whose texts hold no window of any item, as they are. Null texts are clean."""
+    at = df.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        wanted = _wanted(block, window)
+        if not wanted:
+            continue
+        index = df.sparkSession.sparkContext.broadcast(Index(block, window, shingle_frequency(df.select(F.col(f"`{text_col}`").alias("text")), wanted)))
+
+        def run(batches, index=index):
+            own = index.value
+            for batch in batches:
+                yield batch.filter(pa.array([not own.find(words(t))[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        df = map_batches(df, run, df.schema)
+    return df
+
+
+def _wanted(block: list[tuple[str, str | None]], window: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a block's windows, one of which finds each window."""
+    return {s for _, t in block for win in item_windows(t, window) for s in _shingles(win, min(SHINGLE, len(win)))}
+
+
 def find(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each document's words inside occurrences of item windows.
 
@@ -138,7 +160,7 @@ def find(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str
         rows = cut(rows)
     found = None
     for block in blocks:
-        wanted = {s for _, t in block for win in item_windows(t, window) for s in _shingles(win, min(SHINGLE, len(win)))}
+        wanted = _wanted(block, window)
         index = spark.sparkContext.broadcast(Index(block, window, shingle_frequency(rows, wanted) if wanted else {}))
 
         def run(batches, index=index):

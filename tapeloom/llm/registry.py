@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from tapeloom.llm import q_byte_bpe, q_decontaminate, q_langid, q_maxent, q_secrets, q_simhash, q_sketch, q_token_files, q_warc
+import corpus_pipeline
+from tapeloom.llm import q_byte_bpe, q_decontaminate, q_langid, q_maxent, q_secrets, q_simhash, q_sketch, q_token_files, q_unigram, q_warc
 
-_MODULES = (q_byte_bpe, q_token_files, q_secrets, q_sketch, q_decontaminate, q_maxent, q_warc, q_simhash, q_langid)
+_MODULES = (q_byte_bpe, q_token_files, q_secrets, q_sketch, q_decontaminate, q_maxent, q_unigram, q_warc, q_simhash, q_langid)
 
 
 def queries() -> dict:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    return {**{k: f for m in _MODULES for k, f in m.QUERIES.items()}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
+    own = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
