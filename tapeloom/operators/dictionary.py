@@ -10,7 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tapeloom.sources import builtin
 
@@ -232,11 +235,20 @@ class Tables:
     shape: DataFrame
     applications: DataFrame
     sensitive: DataFrame
+    shapes: DataFrame
+    keys: DataFrame
+
+
+def local(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small table that is part of the plan itself, so that no job runs to make it."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind))
 
 
 def tables(spark: SparkSession, registry: Registry) -> Tables:
     own = registry.distinct()
-    make = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    make = lambda rows, schema: local(spark, list(rows), schema)
     catalog = [(k, i, d.dict_id, d.source, d.service_pack) for i, (k, d) in enumerate(registry.entries.items()) if d]
     messages = []
     for d in own:
@@ -245,6 +257,13 @@ def tables(spark: SparkSession, registry: Registry) -> Tables:
         messages += [(d.dict_id, lookup, m.type, m.name, m.category) for lookup, m in rows.items()]
     versions = {*builtin.APPL_VERSIONS, *registry.entries} | {k.removeprefix("FIX") for k in registry.entries}
     applications = [(v, d.dict_id) for v in sorted(versions) if (d := registry.by_application(v, None))]
+    shapes = []
+    for d in own:
+        by_type = {m.type: d.shape(m) for m in d.messages.values()}
+        for dict_id, lookup, kind, _, _ in messages:
+            if dict_id == d.dict_id:
+                own_shape = by_type[kind]
+                shapes.append((dict_id, lookup, [t for t, *_ in own_shape], [{"tag": t, "name": d.fields[t].name} for t, _, need, _ in own_shape if need], [t for t, _, _, again in own_shape if again]))
     return Tables(
         make(catalog, "key string, ordinal int, dict_id string, source string, service_pack string"),
         make(((d.dict_id, f.tag, f.name, f.type, bool(f.enums)) for d in own for f in d.fields.values()), "dict_id string, tag int, name string, type string, has_enums boolean"),
@@ -253,4 +272,6 @@ def tables(spark: SparkSession, registry: Registry) -> Tables:
         make(((d.dict_id, m.type, *s) for d in own for m in d.messages.values() for s in d.shape(m)), "dict_id string, msg_type string, tag int, ord int, required boolean, dup_ok boolean"),
         make(applications, "version string, dict_id string"),
         make(sensitive().items(), "tag int, prefix string"),
+        make(shapes, "dict_id string, lookup string, order array<int>, required array<struct<tag:int,name:string>>, repeats array<int>"),
+        make(((d.dict_id, d.key) for d in own), "dict_id string, key string"),
     )

@@ -22,7 +22,7 @@ def field_errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) ->
     long = explode(messages.select(*keys, "dict_id", "fields"))
     own = long.join(F.broadcast(tables.fields.select("dict_id", "tag", "type", "has_enums")), ["dict_id", "tag"], "left")
     own = own.join(F.broadcast(tables.enums.select("dict_id", "tag", "value", F.lit(True).alias("listed"))), ["dict_id", "tag", "value"], "left")
-    own = own.join(F.broadcast(tables.catalog.groupBy("dict_id").agg(F.max_by("key", "ordinal").alias("key"))), "dict_id", "left")
+    own = own.join(F.broadcast(tables.keys), "dict_id", "left")
     tag, value, kind = F.col("tag").cast("string"), F.col("value"), F.col("type")
     wrong = lambda what: F.concat(F.lit(f"Invalid {what} "), value, F.lit(" for tag "), tag)
     number = kind.isin("INT", "SEQNUM", "NUMINGROUP", "LENGTH")
@@ -38,22 +38,11 @@ def field_errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) ->
     return found.select(*keys, F.lit(1).alias("phase"), (F.col("field_idx") * 3 + F.col("check")).alias("place"), "tag", "error")
 
 
-def shapes(tables: Tables) -> DataFrame:
-    """dict_id, lookup and the shape of its message: order (tags), required (tags with names), repeats (tags)."""
-    named = tables.shape.join(tables.fields.select("dict_id", "tag", "name"), ["dict_id", "tag"])
-    by_type = named.groupBy("dict_id", "msg_type").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "tag"))), lambda x: x["tag"]).alias("order"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("required"), F.struct("ord", "tag", "name")))), lambda x: F.struct(x["tag"].alias("tag"), x["name"].alias("name"))).alias("required"),
-        F.collect_list(F.when(F.col("dup_ok"), F.col("tag"))).alias("repeats"),
-    )
-    return tables.messages.select("dict_id", "lookup", "msg_type").join(by_type, ["dict_id", "msg_type"], "left").drop("msg_type")
-
-
 def message_errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
     """Duplicates (2), missing MsgType or required tags (3), order (4), body length (5) and checksum (6)."""
     empty = F.array().cast("array<int>")
     own = messages.select(*keys, "dict_id", "raw", "fields", fix.last_value("fields", 35).alias("lookup"), F.transform("fields", lambda f: f["tag"]).alias("tags"), F.lit(True).alias("_"))
-    own = own.join(F.broadcast(shapes(tables).withColumn("known", F.lit(True))), ["dict_id", "lookup"], "left")
+    own = own.join(F.broadcast(tables.shapes.withColumn("known", F.lit(True))), ["dict_id", "lookup"], "left")
     tags, known = F.col("tags"), F.col("known").isNotNull()
     again = F.filter(tags, lambda t, i: F.array_position(tags, t) < i + 1)
     twice = F.array_distinct(again)

@@ -5,7 +5,7 @@ The text is built alike in both engines: from whole numbers, codes and formatted
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import fix
@@ -345,8 +345,6 @@ def count_by_bucket(spark, sf_dir):
 
 @query(f"SELECT bucket, msg_type, min(event_id) AS first_line, CAST(row_number() OVER (PARTITION BY bucket ORDER BY min(event_id)) AS INT) AS place FROM events JOIN {_COUNTED} USING (event_type) GROUP BY bucket, msg_type")
 def count_first_seen(spark, sf_dir):
-    from pyspark.sql import Window
-
     own = counts.count(_event_messages(spark, sf_dir), ["line_no", "msg_idx"])
     return own.select("bucket", "msg_type", F.col("first.line_no").alias("first_line"), F.row_number().over(Window.partitionBy("bucket").orderBy("first")).alias("place"))
 
@@ -431,19 +429,21 @@ def obfuscate_delimited(spark, sf_dir):
 
 def _lifecycles(spark, sf_dir) -> DataFrame:
     """A new order, then a report for each of its line items; the last fills it."""
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), place.alias("n"), F.col("l_quantity").cast("int").alias("q"))
     sizes = items.groupBy("k").agg(F.max("n").alias("last"))
     new = sizes.select("k", F.lit(0).alias("n"), fix.encode("FIX.4.4", F.expr(f"concat('35=D{SOH}11=C', k, '{SOH}55=SYM', k % 50, '{SOH}54=1{SOH}')")).alias("line"))
     fill = items.join(sizes, "k").select("k", "n", fix.encode("FIX.4.4", F.expr(f"concat('35=8{SOH}37=O', k, '{SOH}11=C', k, '{SOH}150=F{SOH}39=', CASE WHEN n = last THEN '2' ELSE '1' END, '{SOH}32=', q, '{SOH}')")).alias("line"))
-    lines = new.unionByName(fill).select(F.concat(F.lit("f"), (F.col("k") % 16).cast("string")).alias("file"), F.lit(0).alias("file_ordinal"), (F.col("k") * 100 + F.col("n")).alias("line_no"), "line")
+    lines = new.unionByName(fill).select(F.concat(F.lit("f"), (F.col("k") % 16).cast("string")).alias("file"), F.lit(0).alias("file_ordinal"), (F.col("k") * 1000 + F.col("n")).alias("line_no"), "line")
     return messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(_FIX44))
 
 
-_LIFE = """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 1 AS events FROM lineitem),
-s AS (SELECT k, 0 AS n, 1 AS events, NULL AS q, FALSE AS terminal FROM i GROUP BY k UNION ALL SELECT k, n, events, q, n = last FROM i)"""
+_LIFE = """WITH j AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, CAST(l_quantity AS INT) AS q FROM lineitem),
+i AS (SELECT *, max(n) OVER (PARTITION BY k) AS last FROM j),
+s AS (SELECT k, 0 AS n, 1 AS events, NULL AS q, FALSE AS terminal FROM i GROUP BY k UNION ALL SELECT k, n, n + 1, q, n = last FROM i)"""
 
 
-@query(f"{_LIFE} SELECT k * 100 + n AS line_no, concat('C', k) AS key, CAST(events AS BIGINT) AS events, CAST(q AS VARCHAR) AS last_quantity, CASE WHEN n = 0 THEN 'NewOrderSingle (D)' ELSE 'ExecutionReport (8)' END AS message, '1 (BUY)' AS side, concat('SYM', k % 50) AS symbol, terminal FROM s")
+@query(f"{_LIFE} SELECT k * 1000 + n AS line_no, concat('C', k) AS key, CAST(events AS BIGINT) AS events, CAST(q AS VARCHAR) AS last_quantity, CASE WHEN n = 0 THEN 'NewOrderSingle (D)' ELSE 'ExecutionReport (8)' END AS message, '1 (BUY)' AS side, concat('SYM', k % 50) AS symbol, terminal FROM s")
 def order_summaries(spark, sf_dir):
     return orders.summaries(_lifecycles(spark, sf_dir), _tables(spark), most_open=1 << 30).select("line_no", "key", "events", "last_quantity", "message", "side", "symbol", "terminal")
 
