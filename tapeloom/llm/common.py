@@ -22,9 +22,14 @@ def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def unnamed(df: DataFrame) -> DataFrame:
+    """The rows with columns c0, c1, ... in their places, so that no name can clash with another, in whatever case."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
-    """Only the named columns, renamed; extra columns of whatever names are left behind. Names match exactly as written."""
-    return df.select(*(df[f"`{have}`"].alias(want) for want, have in cols.items()))
+    """Only the named columns, renamed; extra columns of whatever names are left behind. Names match exactly as written, the first of equals."""
+    return unnamed(df).select(*(F.col(f"c{df.columns.index(have)}").alias(want) for want, have in cols.items()))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import map_batches, pick, text_groups
+from tapeloom.llm.common import map_batches, pick, text_groups, unnamed
 from tapeloom.session import cut
 
 #: A-Z to a-z; other ASCII but a-z and 0-9 parts words; bytes of other characters stay.
@@ -124,20 +124,20 @@ def shingle_frequency(docs: DataFrame, shingles: set[tuple[bytes, ...]]) -> dict
 
 def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of df whose texts hold no window of any item, as they are. Null texts are clean."""
-    at = df.columns.index(text_col)
+    at, rows = df.columns.index(text_col), unnamed(df)
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         wanted = _wanted(block, window)
         if not wanted:
             continue
-        index = df.sparkSession.sparkContext.broadcast(Index(block, window, shingle_frequency(df.select(F.col(f"`{text_col}`").alias("text")), wanted)))
+        index = df.sparkSession.sparkContext.broadcast(Index(block, window, shingle_frequency(rows.select(F.col(f"c{at}").alias("text")), wanted)))
 
         def run(batches, index=index):
             own = index.value
             for batch in batches:
                 yield batch.filter(pa.array([not own.find(words(t))[0] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        df = map_batches(df, run, df.schema)
-    return df
+        rows = map_batches(rows, run, rows.schema)
+    return rows.toDF(*df.columns)
 
 
 def _wanted(block: list[tuple[str, str | None]], window: int) -> set[tuple[bytes, ...]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import map_batches, pick
+from tapeloom.llm.common import map_batches, pick, unnamed
 
 ORDER = 4
 #: Bounds on the samples, in documents a language.
@@ -297,4 +297,5 @@ def keep_known(df: DataFrame, models: Models, text_col: str = "text") -> DataFra
         for b in batches:
             yield b.filter(pa.array(~own.verdicts(b.column(at).to_pylist())[3]))
 
-    return map_batches(df, run, df.schema)
+    rows = unnamed(df)
+    return map_batches(rows, run, rows.schema).toDF(*df.columns)

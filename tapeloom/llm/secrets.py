@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import map_batches, pick
+from tapeloom.llm.common import map_batches, pick, unnamed
 
 KINDS = ("assign", "access", "hex", "random")
 #: The forms, and their least lengths.
@@ -166,7 +166,8 @@ def redact(df: DataFrame, text_col: str = "text", by: str = "[SECRET]") -> DataF
             columns[at] = pa.array([mask(t, by) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return map_batches(df, run, df.schema)
+    rows = unnamed(df)
+    return map_batches(rows, run, rows.schema).toDF(*df.columns)
 
 
 def joined(found):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import LOWER_BYTES, map_batches, pick
+from tapeloom.llm.common import LOWER_BYTES, map_batches, pick, unnamed
 from tapeloom.llm.graph import components as connected
 from tapeloom.session import cut, scratch
 
@@ -60,17 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", name: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
-    """The rows with a column of signed 64-bit fingerprints added; a column of that name must not be there yet."""
-    if name in df.columns:
-        raise ValueError(f"there is a column {name} already")
-    at = df.columns.index(text_col)
+    """The rows with a last column of signed 64-bit fingerprints added."""
+    at, rows = df.columns.index(text_col), unnamed(df)
 
     def run(batches):
         for b in batches:
             prints = [fingerprint(t, shingle) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())], names=[*b.schema.names, name])
 
-    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])).toDF(*df.columns, name)
 
 
 def unary(x: np.ndarray) -> np.ndarray:
@@ -233,13 +231,14 @@ def hex_print(col):
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of df, one of each component: that with the least id, nulls last; of repeated ids any one row."""
-    spark, columns = df.sparkSession, df.columns
-    path = scratch(spark, "prints")
-    marked = with_fingerprint(df, text_col, "_fp", shingle).withColumn("_row", F.monotonically_increasing_id())
+    spark, path = df.sparkSession, scratch(df.sparkSession, "prints")
+    own = unnamed(df)
+    text, id_at = f"c{df.columns.index(text_col)}", f"c{df.columns.index(id_col)}"
+    marked = with_fingerprint(own, text, "_fp", shingle).withColumn("_row", F.monotonically_increasing_id())
     marked.write.parquet(path)  # row numbers must stay what they are
     rows = spark.read.parquet(path)
-    small = rows.select(F.col(f"`{id_col}`").alias("id"), "_fp", "_row")
+    small = rows.select(F.col(id_at).alias("id"), "_fp", "_row")
     prints = cut(small.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_row")).alias("first")))
     found = prints.join(roots(prints.select("fp"), distance), "fp", "left")
     kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in columns))
+    return rows.join(kept, "_row", "left_semi").select(*own.columns).toDF(*df.columns)
