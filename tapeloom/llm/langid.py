@@ -8,10 +8,11 @@ least cross-entropy per letter wins, ties by name.
 
 The models are fitted on a bounded sample of labelled rows, FIT_DOCS whole texts a language, and calibrated on another,
 CALIBRATE_DOCS a language: the softmax scale that turns differences into a score, and the cross-entropy above which a
-text counts as being in none of the languages. Everything else covers all rows.
+text counts as being in none of the languages. That is halfway between what calibration texts come to and what they come
+to with their letters shuffled, and more for short texts. Everything else covers all rows.
 
 Null texts, and texts without letters, are `und` with score 0 and are rejected. Rows with null labels are scored, never
-learned from; so are rows with null ids. With no labelled rows at all every text is `und`. Repeated rows give a row each.
+learned from; so are rows with null ids. With too few rows to calibrate on nothing but these is rejected. With no labelled rows at all every text is `und`. Repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ FIT_DOCS, CALIBRATE_DOCS = 1500, 500
 START, END = "\x02", "\x03"
 UNKNOWN = "und"
 CACHE_PARTS = 300_000
-#: A text is rejected beyond so many times the largest deviation but for one in a thousand of the calibration texts.
-MARGIN = 1.25
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -101,7 +100,7 @@ class Models:
             own = sorted({h for _, weights, _ in built for h in weights if len(h) == k - 1})
             hashes = _hash(_points(own, k - 1)) if k > 1 else _hash(np.zeros((len(own), 0), np.uint32))
             self.contexts[k] = self._sorted(hashes, [[np.log2(weights[h]) if weights.get(h, 0) > 0 else 0.0 for _, weights, _ in built] for h in own])
-        self.scale, self.centre, self.spread, self.most = 1.0, None, None, np.inf
+        self.scale, self.most, self.slack = 1.0, np.inf, 0.0
 
     def _sorted(self, hashes: np.ndarray, values: list) -> tuple[np.ndarray, np.ndarray]:
         at = np.argsort(hashes)
@@ -188,24 +187,26 @@ class Scorer:
         score = 1 / np.exp2(-m.scale * np.sqrt(n)[:, None] * (h - low[:, None])).sum(1)
         none = n == 0
         reject = none.copy()
-        if m.centre is not None:
-            reject |= m.deviation(low, n, best) > m.most
+        reject |= low > m.most + m.slack / np.sqrt(np.maximum(n, 1))
         langs = [UNKNOWN if x else m.langs[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)]
         return langs, np.where(none, 0.0, score), low, reject
 
 
-def _deviation(self: Models, low: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """How far a cross-entropy lies above its language's, in spreads; a short text may lie further off."""
-    return (low - self.centre[best]) / (self.spread[best] * np.sqrt(1 + 200 / np.maximum(n, 1)))
+def shuffled(text: str | None) -> str | None:
+    """The text with its letters in another order, and its words as long as they were."""
+    if not text:
+        return text
+    letters = [c for c in text if c.isalpha()]
+    order = np.random.default_rng(len(letters)).permutation(len(letters)).tolist()
+    mixed = iter([letters[i] for i in order])
+    return "".join([next(mixed) if c.isalpha() else c for c in text])
 
 
-Models.deviation = _deviation
-
-
-def _training(df: DataFrame, salt: str, most: int, langs: dict[str, int]) -> DataFrame:
-    """About most rows of each language, chosen by a hash of the id."""
-    share = F.create_map(*(x for lang, n in langs.items() for x in (F.lit(lang), F.lit(min(1.0, most / n)))))
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+def _training(df: DataFrame, calibrate: bool, most: int, langs: dict[str, int]) -> DataFrame:
+    """About most rows of each language, chosen by a hash of the id. One row in five is for calibration, the others for fitting."""
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0
+    share = F.create_map(*(x for lang, n in langs.items() for x in (F.lit(lang), F.lit(min(1.0, most / (n * (0.2 if calibrate else 0.8)))))))
+    return df.where((part if calibrate else ~part) & (F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, fit_docs: int = FIT_DOCS, calibrate_docs: int = CALIBRATE_DOCS) -> Models:
@@ -230,13 +231,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in map(list, zip(*flat, strict=True))], names=["lang", "gram", "n"])
 
-    counted = map_batches(_training(rows, "fit", fit_docs, langs).select("text", "lang"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(_training(rows, False, fit_docs, langs).select("text", "lang"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in langs}
     for r in counted.toLocalIterator():
         counts[r.lang][r.gram] = r.n
     models = Models({k: v for k, v in counts.items() if v}, order)
     if models.langs:
-        _calibrate(models, _training(rows, "calibrate", calibrate_docs, langs))
+        _calibrate(models, _training(rows, True, calibrate_docs, langs))
     return models
 
 
@@ -246,15 +247,16 @@ def _calibrate(models: Models, rows: DataFrame) -> None:
     def score(batches):
         own = Scorer(shared.value)
         for b in batches:
-            h, n = own.entropies(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n), pa.array(list(h), pa.list_(pa.float64()))], names=["lang", "n", "h"])
+            texts = b.column(0).to_pylist()
+            h, n = own.entropies(texts)
+            other, _ = own.entropies([shuffled(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n), pa.array(list(h), pa.list_(pa.float64())), pa.array(other.min(1) if len(texts) else [], pa.float64())], names=["lang", "n", "h", "other"])
 
-    found = [r for r in map_batches(rows.select("text", "lang"), score, "lang string, n double, h array<double>").where("n > 0").collect() if r.lang in models.langs]
+    found = [r for r in map_batches(rows.select("text", "lang"), score, "lang string, n double, h array<double>, other double").where("n > 0").collect() if r.lang in models.langs]
     if not found:
         return
     h, n = np.array([r.h for r in found]), np.array([r.n for r in found])
     true = np.array([models.langs.index(r.lang) for r in found])
-    low = h[np.arange(len(h)), true]
     gap = np.sqrt(n)[:, None] * (h - h.min(1)[:, None])
 
     def loss(scale: float) -> float:
@@ -262,16 +264,11 @@ def _calibrate(models: Models, rows: DataFrame) -> None:
         return -np.log(np.maximum(z[np.arange(len(z)), true] / z.sum(1), 1e-9)).mean()
 
     models.scale = min((2.0**k for k in range(-4, 7)), key=loss)
-    long = np.median(n)
-    centre, spread = np.full(len(models.langs), np.median(low)), np.full(len(models.langs), max(low.std(), 0.05))
-    for k in range(len(models.langs)):
-        own = low[(true == k) & (n >= min(long, 200))]
-        if len(own) >= 5:
-            centre[k] = np.median(own)
-            spread[k] = max(1.4826 * np.median(abs(own - centre[k])), 0.02)
-    models.centre, models.spread = centre, spread
-    best = h.argmin(1)
-    models.most = max(4.0, MARGIN * float(np.quantile(models.deviation(h.min(1), n, best), 0.999)))
+    low, other = h.min(1), np.array([r.other for r in found])
+    long = n >= min(200, np.median(n))
+    own, mixed = float(np.quantile(low[long], 0.999)), float(np.quantile(other[long], 0.01))
+    models.most = (own + mixed) / 2 if mixed > own else own + 1
+    models.slack = 2 * float(np.sqrt(((low - np.median(low)) ** 2 * n).mean()))
 
 
 def predict(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
