@@ -42,17 +42,17 @@ class TailReader(SimpleDataSourceStreamReader):
     def _new(self, start: dict, end: dict | None):
         rows, upto = [], dict(start)
         for i, file in enumerate(sorted(glob.glob(self.path))):
-            at, line_no = start.get(file, (0, 0))
+            at, line_no = start.get(file, [0, 0])
             if os.path.getsize(file) < at:
                 at, line_no = 0, 0
             with open(file, "rb") as f:
                 f.seek(at)
-                data = f.read(self.most if end is None else max(0, end.get(file, (at, 0))[0] - at))
+                data = f.read(self.most if end is None else max(0, end.get(file, [at, 0])[0] - at))
             data = data[: max(data.rfind(b"\n"), data.rfind(b"\r") if not data.endswith(b"\r") else data.rfind(b"\r", 0, -1)) + 1]
             for line in data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")[:-1]:
                 line_no += 1
                 rows.append((file, i, line_no, line))
-            upto[file] = (at + len(data), line_no)
+            upto[file] = [at + len(data), line_no]
         return iter(rows), upto
 
     def read(self, start: dict):
