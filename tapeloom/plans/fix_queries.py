@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import fix
 from tapeloom.operators import counts, decode, dictionary, explore, messages, obfuscate, orders, session, validate
-from tapeloom.session import scratch, table
+from tapeloom.session import scratch, spread, table
 
 SOH = fix.SOH
 QUERIES, ORACLES = {}, {}
@@ -51,7 +51,7 @@ _BODY, _DUCK_BODY = _fields(_ALL)
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey")).withColumn("s", F.expr(_STATUS))
+    return spread(table(spark, sf_dir, "orders")).withColumn("k", F.col("o_orderkey")).withColumn("s", F.expr(_STATUS))
 
 
 def _lines(df: DataFrame, line: Column) -> DataFrame:
@@ -184,7 +184,7 @@ def _check(name: str):
 
     def run(spark, sf_dir):
         value = F.element_at(F.array(*(F.lit(v) for v, _ in cases)), (F.col("event_id") % len(cases) + 1).cast("int"))
-        own = table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+        own = spread(table(spark, sf_dir, "events")).select("event_id", value.alias("value"))
         return own.select("event_id", "value", test("value").alias("valid"))
 
     run.__name__ = name
@@ -198,7 +198,7 @@ for _name in _CHECKS:
 @query("SELECT event_id, ['FIX44', 'FIX44', 'FIX44', 'FIX44', 'FIX50SP2', 'FIXT11', 'FIXT11'][CAST(event_id % 7 + 1 AS INT)] AS version FROM events")
 def normal_versions(spark, sf_dir):
     value = F.expr("element_at(array('44', '4.4', 'fix44', ' FIX.4.4 ', 'FIX50SP2', 'FIXT.1.1', 'fixt11'), cast(event_id % 7 + 1 as int))")
-    return table(spark, sf_dir, "events").select("event_id", fix.version(value).alias("version"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", fix.version(value).alias("version"))
 
 
 @query("""SELECT o_orderkey AS line_no, CAST(100 + o_orderkey % 900 AS DECIMAL(38, 10)) AS quantity, CAST(o_orderkey AS BIGINT) AS sequence, date_trunc('second', o_orderdate) AS sent FROM orders""")
@@ -325,7 +325,7 @@ _TYPES = {"signup": "A", "purchase": "D", "view": "0", "click": "ZZ", "error": N
 def _event_messages(spark, sf_dir) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for pair in _TYPES.items() if pair[1] for x in pair))[F.col("event_type")]
     body = F.concat(F.coalesce(F.concat(F.lit("35="), kind, F.lit(SOH)), F.lit("")), F.lit("34="), F.col("event_id").cast("string"), F.lit(SOH))
-    lines = table(spark, sf_dir, "events").select(F.lit("events").alias("file"), F.lit(0).alias("file_ordinal"), F.col("event_id").alias("line_no"), fix.encode("FIX.4.4", body).alias("line"))
+    lines = spread(table(spark, sf_dir, "events")).select(F.lit("events").alias("file"), F.lit(0).alias("file_ordinal"), F.col("event_id").alias("line_no"), fix.encode("FIX.4.4", body).alias("line"))
     own = messages.parse(messages.extract(lines))
     return counts.described(own.withColumn("dict_id", F.lit(_FIX44)), _tables(spark))
 
@@ -372,7 +372,7 @@ def _sessions(spark, sf_dir) -> DataFrame:
     n = (e % 10).cast("string")
     parts = [F.lit("35="), kind, F.lit(f"{SOH}34="), e.cast("string"), F.lit(SOH), F.when((kind == "A"), F.concat(F.lit("1137="), n, F.lit(SOH))).otherwise(F.lit("")), F.when((kind == "D") & (e % 4 == 0), F.concat(F.lit("1128="), n, F.lit(SOH))).otherwise(F.lit(""))]
     begin = F.when(e % 9 == 0, F.lit("FIX.4.4")).when(e % 9 == 1, F.lit("FIX.9.9")).otherwise(F.lit("FIXT.1.1"))
-    own = table(spark, sf_dir, "events").withColumn("line", fix.encode(begin, F.concat(*parts)))
+    own = spread(table(spark, sf_dir, "events")).withColumn("line", fix.encode(begin, F.concat(*parts)))
     lines = own.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.lit(0).alias("file_ordinal"), F.col("event_id").alias("line_no"), "line")
     return messages.parse(messages.extract(lines))
 
