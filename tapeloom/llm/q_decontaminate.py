@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontaminate
-from tapeloom.session import table
+from tapeloom.session import spread, table
 
 
 def op5_decontaminate(spark, sf_dir):
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every whole text of documents."""
-    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

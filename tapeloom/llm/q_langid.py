@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapeloom.llm import langid
-from tapeloom.session import table
+from tapeloom.session import spread, table
 
 
 def remainder(id_col: str = "doc_id", by: int = 5):
@@ -17,7 +17,7 @@ def learned(docs):
 
 def op10_langid(spark, sf_dir):
     """doc_id, held_out, lang_pred, score (and cross_entropy, rejected) of every whole text of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = langid.predict(docs, learned(docs))
     return found.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
