@@ -248,7 +248,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Piece to its ids as little-endian 32-bit integers. Cleared when full, so its memory is bounded."""
+    """Piece to its ids as little-endian 32-bit integers. When full, only what the texts at hand need stays."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
@@ -260,8 +260,9 @@ class Pieces(dict):
         """Merges those of the wanted pieces that are short and not here yet, many at a time."""
         new = wanted.difference(self)
         if len(self) + len(new) > CACHE_PIECES:
+            kept = [(p, self[p]) for p in wanted.difference(new)]
             self.clear()
-            new = wanted
+            self.update(kept)
         by_width: dict[int, list[str]] = {}
         for piece in new:
             if (whole := self.ranks.get(raw := piece.encode())) is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,8 +34,17 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow. The cyclic garbage collector rests meanwhile: caches of many small objects leave no cycles, and it would walk them again and again."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        gc.disable()
+        try:
+            yield from fn(batches)
+        finally:
+            gc.enable()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_groups(texts: list, most_chars: int) -> Iterator[tuple[int, int]]:

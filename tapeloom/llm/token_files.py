@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 
 import numpy as np
@@ -37,8 +38,8 @@ _TRAILER = struct.Struct("<QQQQQ8s")  # documents, ids, blocks, words, escapes,
 GROUP = 128 * simple8b.BLOCK
 CACHE_PARTS = 400_000
 SHORT = 32
-#: Below this code point every character is its own composed form and classes are settled.
-_SETTLED = 0x250
+#: Printable Latin characters: each is its own composed form, and its class and lower case are settled.
+_SETTLED = "[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+"
 _NULL = -(1 << 63)
 
 
@@ -66,6 +67,7 @@ class WordBpe:
         self.fast = self._tables(spec)
         split = next((p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         self.split = regex.compile(split).findall if split else None
+        self.settled = re.compile(_SETTLED).fullmatch
 
     def _tables(self, spec: dict) -> bool:
         """Whether merging here gives the library's ids: ids must rank the merges, in a lower-casing byte-level BPE with word ends."""
@@ -86,15 +88,19 @@ class WordBpe:
     def _prepare(self, wanted: set[str]) -> None:
         new = wanted.difference(self.parts)
         if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts.clear()
-            self.words.clear()
-            new = wanted
+            self.parts = {p: ids for p in wanted if (ids := self.parts.get(p)) is not None}
+        if len(self.words) > CACHE_PARTS:
+            self.words = {}
         slow, split = [], {}
         for part in new:
-            if self.fast and max(part, default="\0") < chr(_SETTLED) and part.isprintable():
-                split[part] = self.split(part.lower())
-            else:
+            if not self.fast or not self.settled(part):
                 slow.append(part)
+            elif part.isalpha():
+                split[part] = (part.lower(),)
+            elif part[-1] in ".,;:!?" and part[:-1].isalpha():
+                split[part] = (part[:-1].lower(), part[-1])
+            else:
+                split[part] = self.split(part.lower())
         words: dict[int, list[str]] = {}
         long = set()
         for w in set().union(*split.values()).difference(self.words) if split else ():
@@ -225,7 +231,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id
             n = writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(writer.docs)]), pa.array([n])], names=["part", "file", "docs", "ids"])
 
-    return [(r.file, r.docs, r.ids) for r in map_batches(ordered, run, "part long, file string, docs long, ids long").orderBy("part").collect()]
+    found = map_batches(ordered, run, "part long, file string, docs long, ids long").collect()
+    return [(r.file, r.docs, r.ids) for r in sorted(found, key=lambda r: r.part)]
 
 
 def read(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
