@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.common import map_batches, pick, text_groups
+from tapeloom.llm.common import map_batches, pick, resident, text_groups
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: States: nothing open, letter run, number run, other run, white space run, a space that the next run joins, and one
@@ -315,15 +315,9 @@ class Codec:
         return b"".join(map(self.words.__getitem__, np.frombuffer(packed, "<u4")[first:last].tolist()))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str, classes: np.ndarray) -> Codec:
     """The worker's codec; tasks that follow each other in a worker share it."""
-    if path not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path] = Codec(path, classes)
-    return _CODECS[path]
+    return resident(("byte_bpe", path), lambda: Codec(path, classes))
 
 
 SCHEMA = "doc_id {id}, n_tokens long, ids binary, offsets binary, decoded binary"
@@ -356,7 +350,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 )
                 at = hi
 
-    return map_batches(rows, run, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    return map_batches(rows, run, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()), ("byte_bpe", vocabulary))
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -369,4 +363,4 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if p is None else own.decode(p) for p in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary", ("byte_bpe", vocabulary))

@@ -33,11 +33,32 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return unnamed(df).select(*(F.col(f"c{df.columns.index(have)}").alias(want) for want, have in cols.items()))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow. The cyclic garbage collector rests meanwhile: caches of many small objects leave no cycles, and it would walk them again and again."""
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """What a worker keeps from task to task for one operator, such as a vocabulary with its cache. It holds one such thing at a time."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def _release(keeps: tuple | None) -> None:
+    """Drops what another operator has left in this worker."""
+    if keeps not in _RESIDENT:
+        _RESIDENT.clear()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: tuple | None = None) -> DataFrame:
+    """mapInArrow. The cyclic garbage collector rests meanwhile: caches of many small objects leave no cycles, and it would walk them again and again.
+
+    keeps: the key of what fn takes from resident(), if it does.
+    """
     ship(df.sparkSession)
 
     def run(batches):
+        _release(keeps)
         gc.disable()
         try:
             yield from fn(batches)

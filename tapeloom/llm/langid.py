@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import map_batches, pick, unnamed
+from tapeloom.llm.common import map_batches, pick, text_groups, unnamed
 
 ORDER = 4
 #: Bounds on the samples, in documents a language.
 FIT_DOCS, CALIBRATE_DOCS = 1500, 500
 START, END = "\x02", "\x03"
 UNKNOWN = "und"
-CACHE_PARTS = 300_000
+CACHE_PARTS, GROUP_CHARS = 200_000, 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -148,7 +148,7 @@ class Scorer:
     def _prepare(self, wanted: set[str]) -> None:
         new = wanted.difference(self.rows)
         if len(self.rows) + len(new) > CACHE_PARTS:
-            self.rows, new = {}, wanted
+            self.rows, new, self.sums = {}, wanted, self.sums[:1]
         new, at = list(new), len(self.rows)
         if len(self.sums) < at + len(new):
             self.sums = np.concatenate([self.sums[:at], np.zeros((at + 2 * len(new), self.sums.shape[1]))])
@@ -167,12 +167,14 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy in bits a letter in each language, letters and word ends) of each text; 0 letters: none."""
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self._prepare(set().union(*parts))
-        get, out = self.rows.__getitem__, np.zeros((len(texts), self.sums.shape[1]))
-        for i, p in enumerate(parts):
-            if p:
-                out[i] = self.sums[np.fromiter(map(get, p), np.int64, len(p))].sum(0)
+        out = np.zeros((len(texts), self.sums.shape[1]))
+        for lo, hi in text_groups([t or "" for t in texts], GROUP_CHARS):
+            parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts[lo:hi]]
+            self._prepare(set().union(*parts))
+            get = self.rows.__getitem__
+            for i, p in enumerate(parts, lo):
+                if p:
+                    out[i] = self.sums[np.fromiter(map(get, p), np.int64, len(p))].sum(0)
         n = out[:, -1]
         return -out[:, :-1] / np.maximum(n, 1)[:, None], n
 

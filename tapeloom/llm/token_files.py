@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import simple8b
 from tapeloom.llm.byte_bpe import Pairs, merge_many
-from tapeloom.llm.common import AtomicFile, filesystem, map_batches, pick, text_groups
+from tapeloom.llm.common import AtomicFile, filesystem, map_batches, pick, resident, text_groups
 
 MAGIC = b"TLTOK1\0\0"
 _TRAILER = struct.Struct("<QQQQQ8s")  # documents, ids, blocks, words, escapes, MAGIC
@@ -132,14 +132,8 @@ class WordBpe:
         return out
 
 
-_ENCODERS: dict[str, WordBpe] = {}
-
-
 def _encoder(path: str) -> WordBpe:
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = WordBpe(path)
-    return _ENCODERS[path]
+    return resident(("word_bpe", path), lambda: WordBpe(path))
 
 
 class Writer:
@@ -231,7 +225,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id
             n = writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(writer.docs)]), pa.array([n])], names=["part", "file", "docs", "ids"])
 
-    found = map_batches(ordered, run, "part long, file string, docs long, ids long").collect()
+    found = map_batches(ordered, run, "part long, file string, docs long, ids long", ("word_bpe", tokenizer)).collect()
     return [(r.file, r.docs, r.ids) for r in sorted(found, key=lambda r: r.part)]
 
 

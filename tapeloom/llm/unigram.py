@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.common import map_batches, pick, text_groups
+from tapeloom.llm.common import map_batches, pick, resident, text_groups
 
 MARK = "▁"
 PENALTY = 10.0
@@ -150,14 +150,8 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[path] = Counter(vocabulary(path))
-    return _COUNTERS[path]
+    return resident(("unigram", path), lambda: Counter(vocabulary(path)))
 
 
 def count(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,4 +164,4 @@ def count(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "te
             found = own.totals(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double", ("unigram", model))
