@@ -2,8 +2,9 @@
 
 Fixed forms, each leftmost and non-overlapping: assign (a telling name, a sign, a value), access, hex.
 
-Battery: a candidate is a maximal run of key characters of LEAST or more. The smallest alphabet that holds it is taken
-for its encoding. Against uniform draws from that alphabet it is tested for the symbols' counts (chi-squared, both
+Battery: a candidate is a run of key characters of LEAST or more, cut after each '=' or row of them, which is padding of
+what stands before and never part of a key: so the value of NAME=value is a candidate of its own. The smallest alphabet
+that holds it is taken for its encoding. Against uniform draws from that alphabet it is tested for the symbols' counts (chi-squared, both
 tails), for runs above and below the middle of the alphabet, and for the correlation of neighbours; Fisher's method
 joins the three, and a candidate that uniform draws would hardly give is dropped. What is left must be improbable as
 text: the likelihood ratio of uniform draws against a fixed character distribution of prose. Its reciprocal bounds the
@@ -11,6 +12,11 @@ p-value under prose, and it sharpens with length by itself. Of a document's cand
 Benjamini-Hochberg step accepts, with weights in proportion to length. All of this looks at one document at a time, so a
 document's result does not depend on others.
 
+What of a run is not reported whole, or fits no alphabet, is tried by its parts in a second such step: each piece between
+'+', '/', '-' and '_', and the ranges of neighbouring pieces of most evidence within base64 and within base64url, so that
+a key is found that a path or a name is glued to, with these signs in it or not. A range is one of as many as there are
+pieces to start from, and its evidence is less by the log of that. Of overlapping parts that with most evidence is taken.
+
 Null texts count as empty and have no spans. Spans count code points, the end exclusive. Repeated rows give a row each.
 """
 
@@ -32,11 +38,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST = 12, 20
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN, _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), re.compile(r"[A-Za-z0-9+/_-]+=*")
+#: What may stand in a range of pieces, and in one of its pieces.
+_JOINED = [(re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9]+"), "base64"), (re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"[A-Za-z0-9]+"), "base64url")]
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: From small to large, each in the order of its symbols' values. Runs of digits or of one case's letters are no keys.
+#: From small to large, each in the order of its symbols' values. Runs of digits are no keys.
 ALPHABETS = {
-    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "alnum": _DIGITS + _LOWER, "ALNUM": _DIGITS + _UPPER,
+    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "lower": _LOWER, "upper": _UPPER, "base32": _UPPER + "234567", "alnum": _DIGITS + _LOWER, "ALNUM": _DIGITS + _UPPER,
     "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/", "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
@@ -45,14 +53,16 @@ _PLACES = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 _PERCENT = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1)
 _PROSE = {c: math.log(0.84 * p / sum(_PERCENT)) for c, p in zip(_LOWER, _PERCENT, strict=True)}
 _PROSE |= {c.upper(): x + math.log(0.12 / 0.84) for c, x in _PROSE.items()} | {c: math.log(0.003) for c in _DIGITS} | {c: math.log(0.004) for c in "+/_=-"}
+#: What a piece must add to make a range longer; one that adds less is taken along after a key, and before one of several pieces.
+JOIN = 4.0
 #: Uniform draws give a smaller joint p-value once in this many; false discoveries among what is reported.
 RANDOM_P, FALSE_DISCOVERIES = 1e-3, 1e-3
 
 
 def encoding(s: str) -> str | None:
-    """The smallest alphabet that holds s, or None if it is all digits, all one case's letters, or in none."""
+    """The smallest alphabet that holds s, or None if it is all digits, or in none."""
     s = s.rstrip("=")
-    if not s or s.isdigit() or s.isalpha() and (s.islower() or s.isupper()):
+    if not s or s.isdigit():
         return None
     own = set(s)
     return next((k for k, a in _SETS.items() if own <= a), None)
@@ -91,8 +101,10 @@ def randomness(s: str, kind: str) -> float:
 
 
 def evidence(s: str, kind: str) -> float:
-    """The log likelihood ratio of uniform draws from the alphabet against prose."""
+    """The log likelihood ratio of uniform draws from the alphabet against prose; where signs or no others stand by upper case, against prose in upper case."""
     s = s.rstrip("=")
+    if kind in ("upper", "base64", "base64url") and s.isupper():
+        s = s.lower()
     return -len(s) * math.log(len(ALPHABETS[kind])) - sum(map(_PROSE.__getitem__, s))
 
 
@@ -108,6 +120,67 @@ def accepted(found: list[tuple[int, float]], rate: float = FALSE_DISCOVERIES) ->
     return out
 
 
+def _best_ranges(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal ranges (from, to) of most score, by Ruzzo and Tompa; links to the last range that starts lower keep it linear."""
+    found: list[tuple[int, int, float, float, int]] = []  # from, to, sum before, sum with it, link
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start, low = i, before
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= low:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                break
+            start, low = found[j][0], found[j][2]
+            del found[j:]
+        found.append((start, i + 1, low, total, j))
+    return [(a, b) for a, b, *_ in found]
+
+
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int, float]]:
+    """(from, to, what its choice costs) of the parts of a run that may be keys; padding goes with the last."""
+    run = text[start:end]
+    body = len(run.rstrip("="))
+    out = {(m.start(), m.end()): 0.0 for m in _JOINED[0][1].finditer(run)}
+    for allowed, piece, kind in _JOINED:
+        size = math.log(len(ALPHABETS[kind]))
+        for m in allowed.finditer(run):
+            if m.end() - m.start() < LEAST - (len(run) - body):
+                continue
+            pieces = [(p.start(), p.end()) for p in piece.finditer(run, m.start(), m.end())]
+            scores, at = [], m.start()
+            for _, b in pieces:
+                scores.append(-JOIN - sum(size + _PROSE[c] for c in run[at:b]))
+                at = b
+            best = sorted(_best_ranges(scores))
+            for (i, j), before, after in zip(best, [0, *(j for _, j in best)], [*(i for i, _ in best[1:]), len(pieces)], strict=False):
+                several = j - i > 1
+                while j < after and scores[j] > -JOIN:
+                    j += 1
+                while several and i > before and scores[i - 1] > -JOIN:
+                    i -= 1
+                out.setdefault((pieces[i][0], pieces[j - 1][1]), math.log(len(pieces)))
+    padded = ((a, len(run) if b == body else b, cost) for (a, b), cost in out.items())
+    return [(start + a, start + b, cost) for a, b, cost in padded if b - a >= LEAST and (a, b) != (0, len(run))]
+
+
+def _random(text: str, candidates: list[tuple[int, int, float]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the candidates (from, to, cost) that one step accepts, that uniform draws may give and that overlap none before."""
+    found = [(evidence(s, kind) - cost, a, b, s, kind) for a, b, cost in candidates if (kind := encoding(s := text[a:b]))]
+    if not found:
+        return []
+    keep = accepted([(b - a, e) for e, a, b, _, _ in found])
+    out: list[tuple[int, int]] = []
+    for _, a, b, s, kind in sorted((f for f, ok in zip(found, keep, strict=True) if ok), key=lambda f: (-f[0], f[1])):
+        if randomness(s, kind) >= RANDOM_P and not any(x < b and a < y for x, y in (*taken, *out)):
+            out.append((a, b))
+    return out
+
+
 def spans(text: str | None) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, where the secret itself starts) by start, then kind."""
     if not text:
@@ -117,13 +190,13 @@ def spans(text: str | None) -> list[tuple[str, int, int, int]]:
         out += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text)]
     if ("=" in text or ":" in text) and any(map(text.lower().__contains__, _NAMES)):
         out += [("assign", m.start(), m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
-    found = []
-    for m in _CANDIDATE.finditer(text):
-        if kind := encoding(m[0]):
-            found.append((m.start(), m.end(), evidence(m[0], kind), m[0], kind))
-    if found:
-        keep = accepted([(b - a, e) for a, b, e, _, _ in found])
-        out += [("random", a, b, a) for (a, b, _, s, kind), ok in zip(found, keep, strict=True) if ok and randomness(s, kind) >= RANDOM_P and not any(x < b and a < y for _, x, y, _ in out)]
+    runs = [(m.start() + c.start(), m.start() + c.end()) for m in _RUN.finditer(text) for c in _CANDIDATE.finditer(m[0]) if len(c[0]) >= LEAST]
+    if runs:
+        taken = [(x, y) for _, x, y, _ in out]
+        whole = _random(text, [(a, b, 0.0) for a, b in runs], taken)
+        taken += whole
+        parts = [p for a, b in runs if (a, b) not in whole for p in _parts(text, a, b)]
+        out += [("random", a, b, a) for a, b in (*whole, *_random(text, parts, taken))]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

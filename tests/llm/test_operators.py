@@ -162,6 +162,30 @@ def test_randomness_battery():
         assert not any(k == "random" for k, *_ in secrets.spans(text)), text
 
 
+def test_randomness_battery_of_parts():
+    """Keys after a name and a sign, glued to paths and names, and of one case; prose of the same forms is left alone."""
+    rng = np.random.default_rng(4)
+    key = lambda kind, n: "".join(rng.choice(list(secrets.ALPHABETS[kind]), n))
+    forms = [
+        ("x AWS_SECRET_ACCESS_KEY=", "base64", 40, " y"), ("https://h.org/a/b?sig=", "base62", 32, "&x=1"), ("client_key=", "base62", 43, "="), ("com/my-app/v1/", "base62", 32, " z"),
+        ("my_app/key-", "base62", 32, ""), ("id ", "lower", 32, " of"), ("id ", "upper", 24, " of"),
+    ]
+    for before, kind, n, after in forms:
+        found = 0
+        for _ in range(100):
+            own = key(kind, n)
+            text = before + own + after
+            found += any(k == "random" and a == len(before) and b - len(before) in (n, n + 1) for k, a, b, _ in secrets.spans(text))
+        assert found >= 95, (before, found)
+    whole = 0  # a key that holds the very sign that glues it to a path
+    for _ in range(100):
+        own = key("base64", 39) + "A"
+        whole += own[-8:] not in secrets.mask(f"com/my-app/v1/{own} z") and own[:8] not in secrets.mask(f"com/my-app/v1/{own} z")
+    assert whole >= 85, whole
+    for text in ("the_name=of_a_long_variable_name_in_code", "com/my-app/v1/controllers/authentication/handlers", "https://h.org/a/b?title=this-is-a-title-of-a-page", "internationalization_of_names", "ANSWERSTOTHEQUESTIONSOFALL"):
+        assert not any(k == "random" for k, *_ in secrets.spans(text)), text
+
+
 def _shingles(t, n):
     w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", (t or "").translate(LOW)) if x]
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
