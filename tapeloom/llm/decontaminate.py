@@ -16,6 +16,8 @@ documents give a row each, whatever their ids.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,18 +88,24 @@ def united(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of about block_bytes, read one at a time from the driver's side."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks of about block_bytes, one at least, each read when it is asked for."""
     rows = pick(benchmark, item=item_col, text=text_col).select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), "text").orderBy("item", "text")
-    blocks, size = [[]], 0
+    block, size = [], 0
     for r in rows.toLocalIterator():
         n = len(r.text or "")
-        if blocks[-1] and size + n > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item, r.text))
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r.item, r.text))
         size += n
-    return blocks
+    yield block
+
+
+def _drained(items: list):
+    """The items from first to last; the list keeps none that was given out."""
+    while items:
+        yield items.pop(0)
 
 
 def shingle_frequency(docs: DataFrame, shingles: set[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
@@ -155,11 +163,13 @@ def find(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str
     rows = pick(df, doc_id=id_col, text=text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    if len(blocks) > 1:  # a row number joins the blocks' findings; it is written down so that it can't change
+    first = list(islice(blocks, 2))
+    several = len(first) > 1
+    if several:  # a row number joins the blocks' findings; it is written down so that it can't change
         rows = rows.withColumn("row", F.monotonically_increasing_id())
         rows = cut(rows)
     found = None
-    for block in blocks:
+    for block in chain(_drained(first), blocks):
         wanted = _wanted(block, window)
         index = spark.sparkContext.broadcast(Index(block, window, shingle_frequency(rows, wanted) if wanted else {}))
 
@@ -183,7 +193,7 @@ def find(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str
         columns = [c for c in rows.columns if c != "text"]
         one = map_batches(rows.select(*columns, "text"), run, ", ".join([f"doc_id {kind}", *["row long"] * ("row" in columns), _OUT]))
         found = one if found is None else found.unionByName(one.where("n_hit > 0").withColumn("n_words", F.lit(None).cast("long")))
-    if len(blocks) == 1:
+    if not several:
         return found
 
     @F.udf("array<int>")

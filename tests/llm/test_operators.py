@@ -242,6 +242,21 @@ def test_decontaminate(spark, docs, none, block):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_benchmark_is_read_block_by_block(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "word " * 20) for i in range(40)], "item_id long, text string")
+    read, whole = [], type(items).toLocalIterator
+
+    def counted(self, *args, **kwargs):
+        for r in whole(self, *args, **kwargs):
+            read.append(r)
+            yield r
+
+    monkeypatch.setattr(type(items), "toLocalIterator", counted)
+    blocks = iter(decontaminate._blocks(items, "item_id", "text", 200))
+    assert len(next(blocks)) == 2 and len(read) == 3  # the item that would not fit has been read
+    assert sum(map(len, blocks)) == 38 and len(read) == 40
+
+
 def test_maxent(docs, none):
     own = docs.where("doc_id IS NOT NULL AND doc_id <> 6")
     model = maxent.fit(own, frequent=30, rounds=2)
