@@ -1,7 +1,8 @@
 """Following files that grow: a streaming source of their new lines, and the message stream over it.
 
 The offset is the number of bytes read of each file. Only whole lines are given out; a line that has not ended waits
-for the next batch, so that a message cut in two by a read is not lost. A file that has shrunk is read from its start.
+for the next batch, so that a message cut in two by a read is not lost. A read of maxBytes that holds no line end goes on
+until one is found, so that a longer line is given out too. A file that has shrunk is read from its start.
 """
 
 from __future__ import annotations
@@ -32,6 +33,24 @@ class TailSource(DataSource):
         return TailReader(self.options["path"], int(self.options.get("maxBytes", 1 << 24)))
 
 
+def _line_end(data: bytes) -> int:
+    """Where the last whole line ends, or 0. A last carriage return may be half of a line end."""
+    return max(data.rfind(b"\n"), data.rfind(b"\r", 0, -1)) + 1
+
+
+def _read_on(f, data: bytes, most: int) -> tuple[bytes, int]:
+    """(data and what follows it up to a read with a line end, or all that there is; where the last whole line ends)"""
+    parts, size, last, more = [data], len(data), data[-1:], True
+    while more:
+        part = f.read(most)
+        more = len(part) == most
+        if found := _line_end(last + part):
+            return b"".join([*parts, part]), size - len(last) + found
+        parts.append(part)
+        size, last = size + len(part), part[-1:] or last
+    return b"".join(parts), 0
+
+
 class TailReader(SimpleDataSourceStreamReader):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
@@ -48,7 +67,10 @@ class TailReader(SimpleDataSourceStreamReader):
             with open(file, "rb") as f:
                 f.seek(at)
                 data = f.read(self.most if end is None else max(0, end.get(file, [at, 0])[0] - at))
-            data = data[: max(data.rfind(b"\n"), data.rfind(b"\r") if not data.endswith(b"\r") else data.rfind(b"\r", 0, -1)) + 1]
+                whole = _line_end(data)
+                if end is None and not whole and len(data) == self.most:
+                    data, whole = _read_on(f, data, self.most)
+            data = data[:whole]
             for line in data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")[:-1]:
                 line_no += 1
                 rows.append((file, i, line_no, line))

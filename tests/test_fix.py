@@ -238,6 +238,23 @@ def test_arguments():
     assert arguments.merged(["x"], " -v ") == ["-v", "x"] and arguments.merged(["x"], " ") == ["x"]
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
+def test_following_lines_longer_than_a_read(tmp_path, most):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"short\n" + b"x" * 50 + b"\r\n" + b"y" * 23 + b"\rlast\nopen")
+    reader, at, lines = tail.TailReader(str(path), most), {}, []
+    for _ in range(20):
+        rows, at = reader.read(at)
+        lines += [(r[2], r[3]) for r in rows]
+    want = ["short", "x" * 50, "y" * 23, "last"]
+    assert lines == list(enumerate(want, 1))
+    with path.open("ab") as f:
+        f.write(b" line" * 30 + b"\n")
+    rows, end = reader.read(at)
+    rows = list(rows)
+    assert [(r[2], r[3]) for r in rows] == [(5, "open" + " line" * 30)] and list(reader.readBetweenOffsets(at, end)) == rows
+
+
 def test_following_a_growing_file(spark, tmp_path):
     file = tmp_path / "live.log"
     file.write_text(HEARTBEAT + "\n" + HEARTBEAT[:30])
