@@ -4,9 +4,11 @@ An Aho-Corasick automaton of the vocabulary names every piece that ends at a pla
 before it is known by then, so one pass carries, for each place, the best score and the number of pieces, and no path.
 Ties go by the tokenizers library's rules: of equal scores the piece that starts first, and the unknown character, which
 costs the least score minus 10, only where no piece of that one character is in the vocabulary. An unknown character
-counts as its UTF-8 bytes, as with byte fallback. A part starts at each U+0020, which becomes
-the mark that pieces begin with, and at each such mark; parts are segmented by themselves, so what a part came to is
-kept in a cache.
+counts as its UTF-8 bytes, as with byte fallback. U+0020 becomes the mark that pieces begin with. With split, a part
+starts at each mark, as with the library's Metaspace(split=True), and no piece goes beyond its part. Without, a part
+starts at those marks only that no piece holds after the character that stands before them there, so that the parts'
+best segmentations make up the best one of the whole text. Parts are segmented by themselves, so what a part came to
+is kept in a cache.
 
 Vocabularies: any list of (piece, score), or a sentencepiece model file, whose pieces and scores are read as a unigram
 vocabulary whatever kind the model is. No public unigram model is at hand; the pieces of a BPE model with their scores
@@ -17,6 +19,7 @@ Null texts count as empty and have no pieces and score 0. Repeated rows give a r
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -82,9 +85,13 @@ def split_parts(text: str | None) -> list[str]:
 class Counter:
     """Counts pieces of texts by one vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], split: bool = True):
         import ahocorasick
 
+        crossing = set() if split else {a for piece, _ in pieces for a, b in zip(piece, piece[1:], strict=False) if b == MARK}
+        self.crossings = [c + MARK for c in sorted(crossing)]
+        self.uncut = re.compile(f"{MARK}(?:[^{MARK}]++|(?<=[{''.join(map(re.escape, sorted(crossing)))}]){MARK})*+") if crossing else None
+
         self.automaton, self.single = ahocorasick.Automaton(), set()
         for piece, score in pieces:
             if piece:
@@ -95,6 +102,15 @@ class Counter:
         self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
         self.parts: dict[str, tuple[int, float]] = {}
 
+    def split(self, text: str | None) -> list[str]:
+        """The parts of a text, so cut that no piece could cross, or at every mark."""
+        if text and self.uncut:
+            marked = text.replace(" ", MARK)
+            marked = marked if marked.startswith(MARK) else MARK + marked
+            if any(c in marked for c in self.crossings):
+                return self.uncut.findall(marked)
+        return split_parts(text)
+
     def part(self, text: str) -> tuple[int, float]:
         """(pieces, score) of one part, its mark included."""
         n = len(text)
@@ -133,7 +149,7 @@ class Counter:
         """(pieces, score) of each text."""
         out, known = [], self.parts
         for lo, hi in text_groups([t or "" for t in texts], 1 << 21):
-            split = [split_parts(t) for t in texts[lo:hi]]
+            split = [self.split(t) for t in texts[lo:hi]]
             wanted = set().union(*split)
             if len(known) > CACHE_PARTS:
                 known.clear()
@@ -150,18 +166,18 @@ class Counter:
         return out
 
 
-def counter(path: str) -> Counter:
-    return resident(("unigram", path), lambda: Counter(vocabulary(path)))
+def counter(path: str, split: bool = True) -> Counter:
+    return resident(("unigram", path, split), lambda: Counter(vocabulary(path), split))
 
 
-def count(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and score (the best segmentation's) of every row; model: a file at the same path on every machine."""
+def count(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
+    """doc_id, n_tokens and score (the best segmentation's) of every row; model: a file at the same path on every machine; split: at every mark."""
     rows = pick(df, doc_id=id_col, text=text_col)
 
     def run(batches):
-        own = counter(model)
+        own = counter(model, split)
         for b in batches:
             found = own.totals(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double", ("unigram", model))
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double", ("unigram", model, split))

@@ -318,6 +318,29 @@ def test_unigram(docs, none):
             assert counter.totals([text])[0][0] == len(library.encode(text, add_special_tokens=False).ids), (text, own[:15])
 
 
+def test_unigram_of_whole_texts():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    def library_of(pieces):
+        library = Tokenizer(models.Unigram(pieces, 0, byte_fallback=True))
+        library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+        return library
+
+    path = P.path("piece_bpe_32k.model")
+    pieces = unigram.vocabulary(path)
+    library, counter = library_of(pieces), unigram.Counter(pieces, split=False)
+    for text in ("if x:\n        return    y", "  a", "a  ", "   ", " ", "a ▁ b", "a\n   b"):
+        assert counter.totals([text])[0][0] == len(library.encode(text, add_special_tokens=False).ids), text
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pieces = {"".join(rng.choice(list("abc▁]^"), rng.integers(1, 5))) for _ in range(rng.integers(2, 14))}
+        own = [("<unk>", 0.0), *((p, float(-rng.integers(1, 4))) for p in sorted(pieces)), *((f"<0x{i:02X}>", -20.0) for i in range(256))]
+        library, counter = library_of(own), unigram.Counter(own, split=False)
+        for _ in range(20):
+            text = "".join(rng.choice(list("abcd é▁]^"), rng.integers(1, 14)))
+            assert counter.totals([text])[0][0] == len(library.encode(text, add_special_tokens=False).ids), (text, own[:15])
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_warc(spark, gzip):
     big = "é" * 400_000
