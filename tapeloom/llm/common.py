@@ -7,7 +7,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,28 @@ def text_groups(texts: list, most_chars: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def byte_groups(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Cuts an array of texts into runs (from, to) of at most so many bytes; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the place among them of each text's words in turn, the words of each text); words stand between
+    ASCII white space. Null counts as empty."""
+    plain = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(plain)
+    coded = lists.flatten().dictionary_encode()
+    own, sizes, empty = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), pc.equal(plain, "").to_numpy(zero_copy_only=False)
+    if empty.any():  # an empty text gives one empty word
+        own, sizes = own[np.repeat(~empty, sizes)], np.where(empty, 0, sizes)
+    return coded.dictionary.cast(pa.binary()), own, sizes
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) behind a URI; a bare path is local."""
     from pyarrow import fs

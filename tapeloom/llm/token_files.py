@@ -2,16 +2,16 @@
 
 Documents are range-partitioned by id, encoded, and written in ascending id order, one file a partition, so that the
 files in order of their numbers hold the corpus in order. A file is a row of 64-bit Simple-8b words in blocks of a
-fixed number of ids, then a footer: escapes, each block's first word, each document's id and number of ids. The footer
+fixed number of ids, then a footer: escapes, each block's first word, each document's id and number of ids, and which ids are null. The footer
 lets a reader decode any block, or any document's blocks, by itself. Files go to a shared folder and get their names
 only once complete, so a task may fail or run twice.
 
 Encoding keeps a cache of what the text between two blanks encodes to. The vocabulary's normaliser and splitter never
-look across white space, so the pieces of a text are the pieces of its parts. What the cache lacks goes to the
-tokenizers library, or, for words of short Latin letters, to the same vectorised merging as byte-level BPE, which gives
+look across white space, so the pieces of a text are the pieces of its parts. The file's added tokens count as the
+library counts them: where a text spells one out, it is that token. What the cache lacks goes to the library, or, for words of short Latin letters, to the same vectorised merging as byte-level BPE, which gives
 the same ids at a tenth of the time.
 
-Null texts count as empty and have the end id alone. Null document ids come first, kept as null. Repeated ids keep all
+Null texts count as empty and have the end id alone. Document ids are whole numbers; null ones come first, kept as null. Repeated ids keep all
 their rows, ordered by text. An empty table gives no files and reads back as no rows.
 """
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import simple8b
 from tapeloom.llm.byte_bpe import Pairs, merge_many
-from tapeloom.llm.common import AtomicFile, filesystem, map_batches, pick, resident, text_groups
+from tapeloom.llm.common import AtomicFile, byte_groups, filesystem, map_batches, pick, resident, split_words
 
-MAGIC = b"TLTOK1\0\0"
+MAGIC = b"TLTOK2\0\0"
 _TRAILER = struct.Struct("<QQQQQ8s")  # documents, ids, blocks, words, escapes, MAGIC
 #: So many ids are packed, written and read at a time.
 GROUP = 128 * simple8b.BLOCK
@@ -40,7 +40,6 @@ CACHE_PARTS = 400_000
 SHORT = 32
 #: Printable Latin characters: each is its own composed form, and its class and lower case are settled.
 _SETTLED = "[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+"
-_NULL = -(1 << 63)
 
 
 def _byte_letters() -> list[str]:
@@ -59,7 +58,6 @@ class WordBpe:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.parts: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -68,6 +66,9 @@ class WordBpe:
         split = next((p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
         self.split = regex.compile(split).findall if split else None
         self.settled = re.compile(_SETTLED).fullmatch
+        added = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda part: None
+        self.added_alpha = any(t.isalpha() for t in added)
 
     def _tables(self, spec: dict) -> bool:
         """Whether merging here gives the library's ids: ids must rank the merges, in a lower-casing byte-level BPE with word ends."""
@@ -93,10 +94,10 @@ class WordBpe:
             self.words = {}
         slow, split = [], {}
         for part in new:
-            if not self.fast or not self.settled(part):
-                slow.append(part)
-            elif part.isalpha():
+            if self.fast and part.isalpha() and self.settled(part) and not self.added_alpha:
                 split[part] = (part.lower(),)
+            elif not self.fast or not self.settled(part) or self.added(part):
+                slow.append(part)
             elif part[-1] in ".,;:!?" and part[:-1].isalpha():
                 split[part] = (part[:-1].lower(), part[-1])
             else:
@@ -122,14 +123,19 @@ class WordBpe:
             for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.parts[part] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out = []
-        for lo, hi in text_groups(texts, 1 << 21):
-            parts = [t.replace("\n", " ").split(" ") for t in texts[lo:hi]]
-            self._prepare(set().union(*parts))
-            out += [b"".join(map(self.parts.__getitem__, p)) for p in parts]
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, one after another; how many each has)"""
+        found, own, counts = split_words(texts)
+        parts = found.cast(pa.string()).to_pylist()
+        self._prepare(set(parts))
+        packed = [self.parts[p] for p in parts]
+        flat, size = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start = np.cumsum(size) - size
+        each = size[own]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(start[own] - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, upto[ends] - upto[ends - counts]
 
 
 def _encoder(path: str) -> WordBpe:
@@ -143,20 +149,23 @@ class Writer:
         self.out, self.held, self.held_ids = out, [], 0
         self.docs, self.sizes, self.offsets, self.escapes, self.words = [], [], [np.zeros(1, np.int64)], [], 0
 
-    def add(self, doc: int | None, packed: bytes) -> None:
-        self.docs.append(_NULL if doc is None else doc)
-        self.sizes.append(len(packed) // 4)
-        self.held.append(packed)
-        self.held_ids += len(packed) // 4
-        if self.held_ids >= GROUP:
-            self._flush(self.held_ids // GROUP * GROUP)
+    def add(self, docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with so many ids each, which stand one after another in ids."""
+        self.docs += docs
+        self.sizes += sizes.tolist()
+        for at in range(0, len(ids), GROUP):
+            some = ids[at : at + GROUP]
+            self.held.append(some)
+            self.held_ids += len(some)
+            if self.held_ids >= GROUP:
+                self._flush(GROUP)
 
     def _flush(self, n: int) -> None:
         if not n:
             return
-        raw = b"".join(self.held)
-        self.held, self.held_ids = [raw[4 * n :]], len(raw) // 4 - n
-        words, offsets, escapes = simple8b.encode(np.frombuffer(raw, "<u4", n))
+        ids = np.concatenate(self.held)
+        self.held, self.held_ids = [ids[n:]], len(ids) - n
+        words, offsets, escapes = simple8b.encode(ids[:n])
         self.out.write(words.astype("<u8").tobytes())
         self.offsets.append(offsets[1:] + self.words)
         self.words += len(words)
@@ -165,8 +174,10 @@ class Writer:
     def close(self) -> int:
         self._flush(self.held_ids)
         offsets, escapes = np.concatenate(self.offsets), np.concatenate([np.empty(0, np.uint64), *self.escapes])
-        for x, kind in ((escapes, "<u8"), (offsets, "<i8"), (np.array(self.docs, np.int64), "<i8"), (np.array(self.sizes, np.int64), "<i8")):
+        docs = np.fromiter((d or 0 for d in self.docs), np.int64, len(self.docs))
+        for x, kind in ((escapes, "<u8"), (offsets, "<i8"), (docs, "<i8"), (np.array(self.sizes, np.int64), "<i8")):
             self.out.write(x.astype(kind).tobytes())
+        self.out.write(np.packbits([d is None for d in self.docs]).tobytes())
         n = sum(self.sizes)
         self.out.write(_TRAILER.pack(len(self.docs), n, len(offsets) - 1, self.words, len(escapes), MAGIC))
         return n
@@ -183,9 +194,10 @@ def read_file(uri: str):
         f.seek(8 * words)
         part = lambda count, kind: np.frombuffer(f.read(8 * count), kind)
         escaped, offsets, ids, sizes = part(escapes, "<u8"), part(blocks + 1, "<i8"), part(docs, "<i8"), part(docs, "<i8")
+        null = np.unpackbits(np.frombuffer(f.read(-(-docs // 8)), np.uint8), count=docs).tolist()
         f.seek(0)
         held, have, at, step = [], 0, 0, GROUP // simple8b.BLOCK
-        for doc, need in zip(ids.tolist(), sizes.tolist(), strict=True):
+        for doc, missing, need in zip(ids.tolist(), null, sizes.tolist(), strict=True):
             while have < need:
                 upto = min(at + step, blocks)
                 count = min(n, upto * simple8b.BLOCK) - at * simple8b.BLOCK
@@ -195,7 +207,7 @@ def read_file(uri: str):
             if len(held) > 1:
                 held = [np.concatenate(held)]
             whole = held[0] if held else np.empty(0, "<u4")
-            yield None if doc == _NULL else doc, whole[:need].tobytes()
+            yield None if missing else doc, whole[:need].tobytes()
             held, have = [whole[need:]], have - need
 
 
@@ -206,7 +218,6 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id
     """
     rows = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches):
         part, own = TaskContext.get().partitionId(), _encoder(tokenizer)
@@ -217,10 +228,12 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id
         with AtomicFile(name) as out:
             writer = Writer(out)
             while first is not None:
-                docs, texts = first.column(0).to_pylist(), first.column(1).to_pylist()
-                for lo, hi in text_groups(texts, 1 << 21):
-                    for doc, packed in zip(docs[lo:hi], own.encode(texts[lo:hi]), strict=True):
-                        writer.add(doc, packed + end)
+                docs, texts = first.column(0).to_pylist(), first.column(1)
+                for lo, hi in byte_groups(texts):
+                    ids, sizes = own.encode(texts.slice(lo, hi - lo))
+                    if end_id is not None:
+                        ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                    writer.add(docs[lo:hi], sizes, ids)
                 first = next(batches, None)
             n = writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(writer.docs)]), pa.array([n])], names=["part", "file", "docs", "ids"])
