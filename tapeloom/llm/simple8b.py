@@ -17,6 +17,18 @@ COUNTS = np.array([1, *(n for n, _ in PACKS), ZERO_RUN], np.int64)
 BLOCK = 4096
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """The least width of a pack that holds each value; 0 for zero, 64 for what none holds."""
+    widths = np.full(len(values), 64, np.uint8)
+    for bits in sorted({b for _, b in PACKS}, reverse=True):
+        widths[values < np.uint64(1 << bits)] = bits
+    widths[values == 0] = 0
+    return widths
+
+
+_SMALL = _widths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, the offset of each block's first word and at the end their number, escapes) of unsigned 64-bit values."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -24,11 +36,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     blocks = -(-n // block)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64)
-    widths = np.zeros(n, np.uint8)
-    for bits in sorted({b for _, b in PACKS}, reverse=True):
-        widths[values < np.uint64(1 << bits)] = bits
-    widths[values == 0] = 0
-    widths[values >= np.uint64(1 << 60)] = 64
+    widths = _SMALL[values.astype(np.int64)] if values.max() < len(_SMALL) else _widths(values)
     padded = np.zeros((blocks, block + ZERO_RUN), np.uint8)  # what lies past a block's end fits anything
     flat = np.zeros(blocks * block, np.uint8)
     flat[:n] = widths

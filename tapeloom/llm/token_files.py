@@ -24,6 +24,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,6 @@ class WordBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         self.library = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._tables(spec)
@@ -68,7 +68,8 @@ class WordBpe:
         self.settled = re.compile(_SETTLED).fullmatch
         added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda part: None
-        self.added_alpha = any(t.isalpha() for t in added)
+        self.added_letters = any(map(str.isalpha, added))
+        self.marks = "|".join(f"(?i){re.escape(t)}" for t in added) or r"[^\s\S]"
 
     def _tables(self, spec: dict) -> bool:
         """Whether merging here gives the library's ids: ids must rank the merges, in a lower-casing byte-level BPE with word ends."""
@@ -86,56 +87,78 @@ class WordBpe:
         self.inner, self.last = (np.array([vocab[x + tail] for x in letters], np.int32) for tail in ("", end))
         return True
 
-    def _prepare(self, wanted: set[str]) -> None:
-        new = wanted.difference(self.parts)
-        if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts = {p: ids for p in wanted if (ids := self.parts.get(p)) is not None}
-        if len(self.words) > CACHE_PARTS:
-            self.words = {}
-        slow, split = [], {}
+    def _packed(self, wanted: list[str]) -> list[bytes]:
+        """The ids of each part. What is new comes into the cache with the words that it is made of."""
+        out = list(map(self.parts.get, wanted))
+        at = [i for i, ids in enumerate(out) if ids is None]
+        if len(self.parts) + len(at) > CACHE_PARTS:
+            self.parts = {p: ids for p, ids in zip(wanted, out, strict=True) if ids is not None}
+        new = [wanted[i] for i in at]
+        self._prepare(new)
+        for i, part in zip(at, new, strict=True):
+            out[i] = self.parts[part]
+        return out
+
+    def _prepare(self, new: list[str]) -> None:
+        if not self.fast:
+            self._ask(new)
+            return
+        plain, slow, split = [], [], {}
         for part in new:
-            if self.fast and part.isalpha() and self.settled(part) and not self.added_alpha:
-                split[part] = (part.lower(),)
-            elif not self.fast or not self.settled(part) or self.added(part):
+            if part.isalpha() and part.isascii() and part.islower() and not self.added_letters:
+                plain.append(part)
+            elif not self.settled(part) or self.added(part):
                 slow.append(part)
+            elif part.isalpha():
+                split[part] = (part.lower(),)
             elif part[-1] in ".,;:!?" and part[:-1].isalpha():
                 split[part] = (part[:-1].lower(), part[-1])
             else:
                 split[part] = self.split(part.lower())
-        words: dict[int, list[str]] = {}
-        long = set()
-        for w in set().union(*split.values()).difference(self.words) if split else ():
-            if len(raw := w.encode()) <= SHORT:
-                words.setdefault((len(raw) + 3) // 4, []).append(w)
-            else:
-                long.add(w)
-        for group in words.values():
-            for lo in range(0, len(group), 1 << 16):
-                part = group[lo : lo + (1 << 16)]
-                self.words.update(zip(part, merge_many([w.encode() for w in part], self.inner, self.pairs, self.last), strict=True))
+        self._merge(plain)
+        self._merge({w for own in split.values() for w in own if w not in self.parts})
         for part, own in split.items():
-            if long and not long.isdisjoint(own):
-                slow.append(part)
+            self.parts[part] = b"".join([self.parts[w] for w in own]) if len(own) != 1 else self.parts[own[0]]
+        self._ask(slow)
+
+    def _merge(self, words) -> None:
+        groups: dict[int, list[str]] = {}
+        long = []
+        for w in words:
+            n = len(w) if w.isascii() else len(w.encode())
+            if n <= SHORT:
+                groups.setdefault((n + 3) // 4, []).append(w)
             else:
-                self.parts[part] = b"".join([self.words[w] for w in own])
-        for lo in range(0, len(slow), 5000):
-            some = slow[lo : lo + 5000]
+                long.append(w)
+        for group in groups.values():
+            for lo in range(0, len(group), 1 << 16):
+                some = group[lo : lo + (1 << 16)]
+                self.parts.update(zip(some, merge_many([w.encode() for w in some], self.inner, self.pairs, self.last), strict=True))
+        self._ask(long)
+
+    def _ask(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), 5000):
+            some = parts[lo : lo + 5000]
             for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.parts[part] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, one after another; how many each has)"""
+        if self.fast and not pc.any(pc.match_substring_regex(texts, self.marks)).as_py():
+            texts = pc.ascii_lower(texts)  # fewer distinct words; added tokens alone are told by case
         found, own, counts = split_words(texts)
         parts = found.cast(pa.string()).to_pylist()
-        self._prepare(set(parts))
-        packed = [self.parts[p] for p in parts]
+        packed = self._packed(parts)
         flat, size = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        start = np.cumsum(size) - size
-        each = size[own]
-        upto = np.concatenate([[0], np.cumsum(each)])
+        start, ids = np.cumsum(size) - size, []
+        for lo in range(0, len(own), 1 << 16):
+            some = own[lo : lo + (1 << 16)]
+            each = size[some]
+            upto = np.cumsum(each)
+            ids.append(flat[np.repeat(start[some] - upto + each, each) + np.arange(upto[-1])])
+        upto = np.concatenate([[0], np.cumsum(size[own])])
         ends = np.cumsum(counts)
-        ids = flat[np.repeat(start[own] - upto[:-1], each) + np.arange(upto[-1])]
-        return ids, upto[ends] - upto[ends - counts]
+        return np.concatenate([np.empty(0, "<u4"), *ids]), upto[ends] - upto[ends - counts]
 
 
 def _encoder(path: str) -> WordBpe:
