@@ -6,10 +6,12 @@ Battery: a candidate is a run of key characters of LEAST or more, cut after each
 what stands before and never part of a key: so the value of NAME=value is a candidate of its own. The smallest alphabet
 that holds it is taken for its encoding. Against uniform draws from that alphabet it is tested for the symbols' counts (chi-squared, both
 tails), for runs above and below the middle of the alphabet, and for the correlation of neighbours; Fisher's method
-joins the three, and a candidate that uniform draws would hardly give is dropped. What is left must be improbable as
-text: the likelihood ratio of uniform draws against a fixed character distribution of prose. Its reciprocal bounds the
-p-value under prose, and it sharpens with length by itself. Of a document's candidates those are reported that a
-Benjamini-Hochberg step accepts, with weights in proportion to length. All of this looks at one document at a time, so a
+joins the three, and a candidate that uniform draws would hardly give is withdrawn, as is first of all what fixed forms
+cover by half or more. What is left must be improbable as text: the likelihood ratio of uniform draws against a fixed character
+distribution of prose. Its reciprocal bounds the p-value under prose, and it sharpens with length by itself: the three
+tests' own p-values can only speak against uniform draws, never for them, so the error that the step controls has to come
+from this bound. Of the candidates left those are reported that a Benjamini-Hochberg step accepts, with weights in
+proportion to length. All of this looks at one document at a time, so a
 document's result does not depend on others.
 
 What of a run is not reported whole, or fits no alphabet, is tried by its parts in a second such step: each piece between
@@ -44,7 +46,7 @@ _JOINED = [(re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9]+"), "base64"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: From small to large, each in the order of its symbols' values. Runs of digits are no keys.
 ALPHABETS = {
-    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "lower": _LOWER, "upper": _UPPER, "base32": _UPPER + "234567", "alnum": _DIGITS + _LOWER, "ALNUM": _DIGITS + _UPPER,
+    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "mixedhex": _DIGITS + "abcdefABCDEF", "lower": _LOWER, "upper": _UPPER, "base32": _UPPER + "234567", "alnum": _DIGITS + _LOWER, "ALNUM": _DIGITS + _UPPER,
     "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/", "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
@@ -169,14 +171,18 @@ def _parts(text: str, start: int, end: int) -> list[tuple[int, int, float]]:
 
 
 def _random(text: str, candidates: list[tuple[int, int, float]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those of the candidates (from, to, cost) that one step accepts, that uniform draws may give and that overlap none before."""
-    found = [(evidence(s, kind) - cost, a, b, s, kind) for a, b, cost in candidates if (kind := encoding(s := text[a:b]))]
-    if not found:
-        return []
-    keep = accepted([(b - a, e) for e, a, b, _, _ in found])
+    """Those of the candidates (from, to, cost) that spans before leave more than half of, that uniform draws may give and that one step accepts."""
+    found = []
+    for a, b, cost in candidates:
+        s = text[a:b]
+        if 2 * sum(max(0, min(b, y) - max(a, x)) for x, y in taken) >= b - a or not (kind := encoding(s)):
+            continue
+        e = evidence(s, kind) - cost
+        if e <= 0 or randomness(s, kind) >= RANDOM_P:  # what prose explains better stays in the count, as it can't be accepted
+            found.append((e, a, b))
     out: list[tuple[int, int]] = []
-    for _, a, b, s, kind in sorted((f for f, ok in zip(found, keep, strict=True) if ok), key=lambda f: (-f[0], f[1])):
-        if randomness(s, kind) >= RANDOM_P and not any(x < b and a < y for x, y in (*taken, *out)):
+    for _, a, b in sorted((f for f, ok in zip(found, accepted([(b - a, e) for e, a, b in found]), strict=True) if ok), key=lambda f: (-f[0], f[1])) if found else ():
+        if not any(x < b and a < y for x, y in out):
             out.append((a, b))
     return out
 

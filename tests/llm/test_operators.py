@@ -302,6 +302,28 @@ def test_maxent_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+@pytest.mark.parametrize("key", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZg==", "16C7e42F292c6912E7710c838347Ae178B4a", "AIzaSyD4xK9_vQ2mPzR7tWbN3cLhG5jUeYfS8aOi"])
+@pytest.mark.parametrize("form", ["AWS_SECRET_ACCESS_KEY={}", "export KEY={}", "ghp_{}", "see https://example.com/a?sig={}&v=2 for it"])
+def test_keys_glued_to_names(key, form):
+    text = form.format(key)
+    at = text.index(key)
+    assert any(k == "random" and a <= at + 1 and b >= at + len(key) - 3 for k, a, b, _ in secrets.spans(text)), secrets.spans(text)
+
+
+@pytest.mark.parametrize("kind", sorted(set(secrets.ALPHABETS) - {"hex"}))
+def test_recall_by_encoding_and_length(kind):
+    """At least nine of ten keys of 20 characters, all but a few of longer ones, in a sentence; and no plain sentence."""
+    rng = np.random.default_rng(9)
+    for n, least in ((20, 54), (32, 56), (64, 57)):
+        hits = 0
+        for i in range(60):
+            before = prose(i, 12) + (" ", " NAME=", ' "key": "')[i % 3]
+            key = "".join(rng.choice(list(secrets.ALPHABETS[kind]), n))
+            found = [(a, b) for k, a, b, _ in secrets.spans(f'{before}{key}" {prose(i, 9)}') if k == "random"]
+            hits += any(a <= len(before) + 1 and b >= len(before) + n - 1 for a, b in found)
+        assert hits >= least, (kind, n, hits)
+
+
 def test_unigram(docs, none):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
