@@ -1,32 +1,37 @@
-"""Validation of messages against their dictionaries.
+"""Validation of messages against their dictionaries, in one pass and without a shuffle.
 
-What concerns one field is found on the long form, joined to the dictionary's tables by broadcast; what concerns the
-message is found on its row, with the message's shape joined by broadcast. Neither shuffles; errors only meet where they
-are gathered by message.
+Each message becomes one row a field and one row for the whole. What concerns a field is found on its row, what concerns
+the message on the last; the dictionary's tables and the message's shape come by broadcast joins. Errors only meet where
+they are gathered by message.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import fix
 from tapeloom.operators.dictionary import Tables
-from tapeloom.operators.messages import KEYS, explode
+from tapeloom.operators.messages import KEYS
 
 ERROR = "phase int, place int, tag int, error string"
+_WHOLE = f"struct<raw:string,fields:{fix.FIELD},checksum:int>"
 
 
-def field_errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
+def _text(tag: Column) -> Column:
+    return tag.cast("string")
+
+
+def _error(phase: int, place: Column, tag: Column, text: Column) -> Column:
+    return F.struct(F.lit(phase).alias("phase"), place.cast("int").alias("place"), tag.cast("int").alias("tag"), text.alias("error"))
+
+
+def _of_field() -> Column:
     """Unknown tags, values that are no enum's, and values of the wrong form: phase 1, in the order of fields."""
-    long = explode(messages.select(*keys, "dict_id", "fields"))
-    own = long.join(F.broadcast(tables.fields.select("dict_id", "tag", "type", "has_enums")), ["dict_id", "tag"], "left")
-    own = own.join(F.broadcast(tables.enums.select("dict_id", "tag", "value", F.lit(True).alias("listed"))), ["dict_id", "tag", "value"], "left")
-    own = own.join(F.broadcast(tables.keys), "dict_id", "left")
-    tag, value, kind = F.col("tag").cast("string"), F.col("value"), F.col("type")
+    tag, value, kind = _text(F.col("tag")), F.col("value"), F.col("type")
     wrong = lambda what: F.concat(F.lit(f"Invalid {what} "), value, F.lit(" for tag "), tag)
     number = kind.isin("INT", "SEQNUM", "NUMINGROUP", "LENGTH")
-    checks = F.array(
+    checks = (
         F.when(kind.isNull(), F.concat(F.lit("Unknown tag "), tag, F.lit(" in "), F.col("key"))),
         F.when(F.col("has_enums") & F.col("listed").isNull(), wrong("enum value")),
         F.when(number & fix.blank(value), F.concat(F.lit("Invalid numeric value for tag "), tag)).when(number & ~fix.is_integer(value), wrong("numeric value"))
@@ -34,42 +39,52 @@ def field_errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) ->
         .when((kind == "UTCTIMESTAMP") & ~fix.is_timestamp(value), wrong("UTCTIMESTAMP value"))
         .when(kind.isin("LOCALMKTDATE", "UTCDATEONLY") & ~fix.is_date(value), wrong("date value")),
     )
-    found = own.select(*keys, "field_idx", "tag", F.posexplode(checks).alias("check", "error")).where("error IS NOT NULL")
-    return found.select(*keys, F.lit(1).alias("phase"), (F.col("field_idx") * 3 + F.col("check")).alias("place"), "tag", "error")
+    return F.array(*(_error(1, F.col("field_idx") * 3 + i, F.col("tag"), text) for i, text in enumerate(checks)))
 
 
-def message_errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
+def _late(tags: Column) -> Column:
+    """The tags with a place in the message's order that stand behind one of a later place, by one walk that carries the furthest place."""
+    placed = F.filter(F.transform(tags, lambda t: F.struct(t.alias("t"), F.array_position("order", t).alias("p"))), lambda x: x["p"] > 0)
+    start = F.struct(F.lit(0).cast("bigint").alias("far"), F.array().cast("array<int>").alias("late"))
+    step = lambda acc, x: F.struct(F.greatest(acc["far"], x["p"]).alias("far"), F.when(x["p"] < acc["far"], F.concat(acc["late"], F.array(x["t"]))).otherwise(acc["late"]).alias("late"))
+    return F.aggregate(placed, start, step, lambda acc: acc["late"])
+
+
+def _of_message() -> Column:
     """Duplicates (2), missing MsgType or required tags (3), order (4), body length (5) and checksum (6)."""
-    empty = F.array().cast("array<int>")
-    own = messages.select(*keys, "dict_id", "raw", "fields", fix.last_value("fields", 35).alias("lookup"), F.transform("fields", lambda f: f["tag"]).alias("tags"), F.lit(True).alias("_"))
-    own = own.join(F.broadcast(tables.shapes.withColumn("known", F.lit(True))), ["dict_id", "lookup"], "left")
-    tags, known = F.col("tags"), F.col("known").isNotNull()
-    again = F.filter(tags, lambda t, i: F.array_position(tags, t) < i + 1)
-    twice = F.array_distinct(again)
-    make = lambda phase, tag, text: F.struct(F.lit(phase).alias("phase"), tag.cast("int").alias("tag"), text.alias("error"))
-    text = lambda t: t.cast("string")
-    duplicates = F.transform(F.array_except(twice, F.coalesce("repeats", empty)), lambda t: make(2, t, F.concat(F.lit("Duplicate tag "), text(t), F.lit(" encountered"))))
-    kind = F.col("lookup")
-    missing_type = F.array(make(3, F.lit(35), F.when(kind.isNull(), F.lit("Missing required tag 35 (MsgType)")).otherwise(F.concat(F.lit("Unknown MsgType: "), kind))))
-    required = F.transform(F.filter("required", lambda r: ~F.array_contains(tags, r["tag"])), lambda r: make(3, r["tag"], F.concat(F.lit("Missing required tag "), text(r["tag"]), F.lit(" ("), r["name"], F.lit(")"))))
-    # the tags that have a place, each with the furthest place before it
-    placed = F.filter(tags, lambda t: F.array_contains("order", t))
-    places = F.transform(placed, lambda t: F.array_position("order", t))
-    late = F.filter(F.transform(placed, lambda t, i: F.struct(t.alias("t"), ((i > 0) & (F.array_position("order", t) < F.coalesce(F.array_max(F.slice(places, 1, i)), F.lit(0)))).alias("late"))), lambda x: x["late"])
-    order = F.transform(late, lambda x: make(4, x["t"], F.concat(F.lit("Tag "), text(x["t"]), F.lit(" appears out of dictionary order"))))
-    none = F.array().cast("array<struct<phase:int,tag:int,error:string>>")
+    tags, known, kind = F.transform("fields", lambda f: f["tag"]), F.col("known").isNotNull(), F.col("lookup")
+    twice = F.array_distinct(F.filter(tags, lambda t, i: F.array_position(tags, t) < i + 1))
+    none = F.array().cast(f"array<struct<{ERROR.replace(' ', ':').replace(',:', ',')}>>")
+    told = lambda phase, own, tag, text: F.transform(own, lambda x, i: _error(phase, i, tag(x), text(x)))
+    duplicates = told(2, F.array_except(twice, F.coalesce("repeats", F.array().cast("array<int>"))), lambda t: t, lambda t: F.concat(F.lit("Duplicate tag "), _text(t), F.lit(" encountered")))
+    missing_type = F.array(_error(3, F.lit(0), F.lit(35), F.when(kind.isNull(), F.lit("Missing required tag 35 (MsgType)")).otherwise(F.concat(F.lit("Unknown MsgType: "), kind))))
+    required = told(3, F.filter("required", lambda r: ~F.array_contains(tags, r["tag"])), lambda r: r["tag"], lambda r: F.concat(F.lit("Missing required tag "), _text(r["tag"]), F.lit(" ("), r["name"], F.lit(")")))
+    order = told(4, _late(tags), lambda t: t, lambda t: F.concat(F.lit("Tag "), _text(t), F.lit(" appears out of dictionary order")))
     length, stated = fix.expected_length("raw"), fix.int_value(fix.last_value("fields", 9))
-    body = F.when(~fix.has_tag("fields", 9), F.lit("Missing required tag 9 (BodyLength)")).when(length.isNotNull() & (stated != length), F.concat(F.lit("BodyLength mismatch: got "), text(stated), F.lit(", expected "), text(length)))
-    check, told = fix.expected_checksum("raw"), fix.int_value(fix.last_value("fields", 10))
-    total = F.when(~fix.has_tag("fields", 10), F.lit("Missing required tag 10 (CheckSum)")).when(check.isNotNull() & (told != check), F.concat(F.lit("Checksum mismatch: got "), fix.digits(told, 3), F.lit(", expected "), fix.digits(check, 3)))
-    every = F.flatten(F.array(duplicates, F.when(~known, missing_type).otherwise(F.coalesce(required, none)), F.when(known & (F.size(twice) == 0), F.coalesce(order, none)).otherwise(none), F.array(make(5, F.lit(9), body)), F.array(make(6, F.lit(10), total))))
-    rows = own.select(*keys, F.posexplode(F.filter(every, lambda e: e["error"].isNotNull())).alias("place", "e"))
-    return rows.select(*keys, "e.phase", "place", "e.tag", "e.error")
+    body = F.when(~fix.has_tag("fields", 9), F.lit("Missing required tag 9 (BodyLength)")).when(length.isNotNull() & (stated != length), F.concat(F.lit("BodyLength mismatch: got "), _text(stated), F.lit(", expected "), _text(length)))
+    check, given = F.col("checksum"), fix.int_value(fix.last_value("fields", 10))
+    total = F.when(~fix.has_tag("fields", 10), F.lit("Missing required tag 10 (CheckSum)")).when(check.isNotNull() & (given != check), F.concat(F.lit("Checksum mismatch: got "), fix.digits(given, 3), F.lit(", expected "), fix.digits(check, 3)))
+    parts = duplicates, F.when(~known, missing_type).otherwise(F.coalesce(required, none)), F.when(known & (F.size(twice) == 0), F.coalesce(order, none)).otherwise(none)
+    return F.concat(*parts, F.array(_error(5, F.lit(0), F.lit(9), body), _error(6, F.lit(0), F.lit(10), total)))
 
 
 def errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
-    """Every error of messages with raw, fields and dict_id; phase and place give a message's order of report."""
-    return field_errors(messages, tables, keys).unionByName(message_errors(messages, tables, keys))
+    """Every error of messages with raw, fields and dict_id: keys, phase, place, tag, error; phase and place give a message's order of report."""
+    nothing = F.lit(None)
+    whole = F.struct("raw", "fields", "_sum").cast(_WHOLE)
+    rows = F.concat(
+        F.transform("fields", lambda f: F.struct(f["tag"].alias("tag"), f["value"].alias("value"), nothing.cast(_WHOLE).alias("whole"))),
+        F.array(F.struct(nothing.cast("int").alias("tag"), nothing.cast("string").alias("value"), whole.alias("whole"))),
+    )
+    summed = messages.select(*keys, "dict_id", "raw", "fields", fix.expected_checksum("raw").cast("int").alias("_sum"))
+    own = summed.select(*keys, "dict_id", F.posexplode(rows).alias("field_idx", "x")).select(*keys, "dict_id", "field_idx", "x.tag", "x.value", F.col("x.whole").isNotNull().alias("whole"), "x.whole.raw", "x.whole.fields", "x.whole.checksum")
+    own = own.withColumn("lookup", F.when(F.col("whole"), fix.last_value("fields", 35)))
+    own = own.join(F.broadcast(tables.fields.select("dict_id", "tag", "type", "has_enums")), ["dict_id", "tag"], "left")
+    own = own.join(F.broadcast(tables.enums.select("dict_id", "tag", "value", F.lit(True).alias("listed"))), ["dict_id", "tag", "value"], "left")
+    own = own.join(F.broadcast(tables.keys), "dict_id", "left")
+    own = own.join(F.broadcast(tables.shapes.withColumn("known", F.lit(True))), ["dict_id", "lookup"], "left")
+    found = F.filter(F.when(F.col("whole"), _of_message()).otherwise(_of_field()), lambda e: e["error"].isNotNull())
+    return own.select(*keys, F.explode(found).alias("e")).select(*keys, "e.phase", "e.place", "e.tag", "e.error")
 
 
 def joined(found: DataFrame, keys: list[str] = KEYS) -> DataFrame:
