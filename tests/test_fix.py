@@ -142,7 +142,8 @@ def test_dictionaries():
     assert explore.message_lines(fixt, "1", verbose=True) == ["Message: TestRequest (1)", "    Message: Body", "         112: TestReqID (STRING) - (Y)"]
     assert explore.tag_lines(fixt, 43, True) == ["  43: PossDupFlag (BOOLEAN)", "      N : NO", "      Y : YES"]
     assert explore.component_lines(fixt) == ["HopGrp", "MsgTypeGrp"] and explore.component_lines(fixt, "HopGrp")[1:3] == [" 627: NoHops (NUMINGROUP)".replace(" 627", "     627"), "           628: HopCompID (STRING)"]
-    for text in ("<!DOCTYPE x><fix/>", "<fix/>"):
+    entity = "<!DOCTYPE fix [<!ENTITY e 'E'>]><fix type='&e;'/>"
+    for text in ("<!DOCTYPE x><fix/>", "<fix/>", entity, *(f"<?xml version='1.0' encoding='{c}'?>{entity}".encode(c) for c in ("utf-16", "utf-8", "iso-8859-1"))):
         with pytest.raises(ValueError):
             dictionary.parse_xml(text, "x")
 
