@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from tapeloom.llm import byte_bpe, decontaminate, langid, maxent, secrets, simhash, simple8b, sketch, token_files, unigram, warc
 from tapeloom.session import scratch
@@ -263,43 +264,108 @@ def test_benchmark_is_read_block_by_block(spark, monkeypatch):
 
 
 def test_maxent(docs, none):
-    own = docs.where("doc_id IS NOT NULL AND doc_id <> 6")
-    model = maxent.fit(own, frequent=30, rounds=2)
+    learned = F.coalesce(F.col("doc_id") != 6, F.lit(False))
+    model = maxent.fit(docs, learned, frequent=30)
     counts = Counter(w for k, t in ROWS if k is not None and k != 6 for w in [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "\n"])
     n, v = sum(counts.values()), len(counts)
-    assert (model.vocabulary.n, model.vocabulary.v) == (n, v)
+    assert (model.vocabulary.n, model.vocabulary.v) == (n, v) and model.vocabulary.rare_words > 10
 
     def base(t):
         words = [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "\n"]
         return len(words), sum(counts[w] > 0 for w in words), round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), 6)
 
-    rows = maxent.score(docs, model).collect()
+    rows = maxent.score(docs, model, learned).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want(base)
-    assert all(r.score < 0 for r in rows)
-    assert maxent.score(none, model).count() == 0
-    empty = maxent.fit(none)
-    assert all(r.n_known == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in maxent.score(docs, empty).collect())
+    assert all(r.score < 0 for r in rows) and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    one = docs.repartition(1)
+    scores = lambda found: sorted((r.n_tokens, r.score) for r in found)
+    again = scores(maxent.score(one, maxent.fit(one, learned, frequent=30), learned).collect())
+    assert [x for x, _ in again] == [x for x, _ in scores(rows)] and [x for _, x in again] == pytest.approx([x for _, x in scores(rows)], rel=1e-6)
+    assert maxent.score(none, maxent.fit(none, learned), learned).count() == 0
+    nothing = F.lit(False)
+    assert all(r.n_known == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in maxent.score(docs, maxent.fit(docs, nothing), nothing).collect())
+
+
+def _plain_scores(v, rows, weight, copies):
+    """The same model with one dictionary a feature and one pair at a time, hash collisions of its tables included."""
+    paths = []
+    for t in rows[0]:
+        _, node, second, bias = v.expand(np.array([t], np.uint32))
+        paths.append([[int(h), bool(s), float(b)] for h, s, b in zip(node, second, bias, strict=True)])
+    every = maxent.features(rows[1:])
+    for feature, prior in zip(every, maxent.PRIOR, strict=True):
+        seen, there = Counter(), Counter()
+        for f, w, c in zip(feature.tolist(), weight, copies, strict=True):
+            seen[f >> 16] += w
+            there[f >> 16] += c
+        used = [i for i, f in enumerate(feature.tolist()) if seen[f >> 16] > 0 and there[f >> 16] > 1]
+        bits = maxent.table_bits(sum(len(paths[i]) for i in used))
+        place = lambda f, h: ((f ^ h) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)  # noqa: E731, B023
+        up, down = Counter(), Counter()
+        for i in used:
+            for h, second, z in paths[i]:
+                p, at = 1 / (1 + math.exp(-z)), place(int(feature[i]), h)
+                up[at] += weight[i] * (second - p)
+                down[at] += weight[i] * p * (1 - p)
+        for i in used:
+            for step in paths[i]:
+                at = place(int(feature[i]), step[0])
+                step[2] += up[at] / (down[at] + prior)
+    return [sum(-math.log(1 + math.exp(-z if second else z)) for _, second, z in path) for path in paths]
+
+
+def _small_model(seed: int = 4):
+    rng = np.random.default_rng(seed)
+    words = [w.encode() for w in WORDS[:30]] + [b"\n"]
+    v = maxent.Vocabulary(words, np.arange(1, len(words) + 1) * 7, 20_000, len(words) + 6)
+    pool = np.array([*range(len(words)), *(maxent.rare_code(f"w{i}".encode()) for i in range(6))], np.uint32)
+    rows = np.unique(pool[np.minimum(rng.geometric(0.15, (4, 300)), len(pool)) - 1], axis=1)
+    return v, pool, rows
+
+
+def test_maxent_learns_what_plain_sums_give():
+    v, _, rows = _small_model()
+    rng = np.random.default_rng(8)
+    weight, extra = rng.integers(0, 3, rows.shape[1]), rng.integers(0, 2, rows.shape[1])
+    copies = np.maximum(weight + extra, 1)
+    for scale in (1, 100_000):  # beyond 2^17 tokens the sums are taken apart
+        got = maxent.learn_and_score(v, rows, weight * scale, copies * scale)
+        assert got == pytest.approx(_plain_scores(v, rows, (weight * scale).tolist(), (copies * scale).tolist()), rel=0.01, abs=0.02)
 
 
 def test_maxent_is_a_distribution():
-    """Classes, bins and words sum to one in any context."""
-    words = [w.encode() for w in WORDS] + [b"\n"]
-    v = maxent.Vocabulary(words, np.arange(1, len(words) + 1) * 7, 20_000, len(words) + 3)
-    v.rare_tokens[:3], v.rare_words[:3] = 5, 2
-    weights, coder = maxent.Weights(v), maxent.Coder(v)
-    flat, at, _ = coder.batch([words[:20], words[5:9]])
-    maxent_trainer = maxent.Trainer(weights)
-    maxent_trainer.step(coder, flat, at)
-    weights.tables = maxent_trainer.tables
-    leaves = v.leaves()
-    every = [*range(len(words)), *(-1 - k for k in range(maxent.CLASSES))]
-    context = flat[at[3] - 3 : at[3]].tolist()
-    total = 0.0
-    for code in every:
-        f = np.array([*context, code])
-        p = float(np.exp(maxent.log_probabilities(weights, coder, f, np.array([3])))[0])
-        total += p * (v.counts[code] / leaves[v.kinds[code], v.bins[code]] if code >= 0 else 1)
-    assert total == pytest.approx(1, abs=1e-3)
+    """Over all words of the table and all leaves of the others, probabilities sum to one in any context, met or not."""
+    v, pool, rows = _small_model()
+    leaves = np.array([*range(len(v.words)), *((1 << 31) | (i << (31 - v.bits)) for i in range(1 << v.bits))], np.uint32)
+    for context in ([0, 1, 2], [3, 3, 0], [int(pool[-1]), 0, 1], [maxent._PAD] * 3):
+        asked = np.vstack([leaves, *(np.full(len(leaves), c, np.uint32) for c in context)])
+        own = np.concatenate([rows, asked], axis=1)
+        weight = np.concatenate([np.ones(rows.shape[1]), np.zeros(len(leaves))])
+        got = maxent.learn_and_score(v, own, weight, np.ones(own.shape[1]))[rows.shape[1] :]
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_maxent_deals_common_contexts():
+    """A word of very many tokens, and a pair of two such, are dealt over many shards; all else of a context stays together."""
+    v = maxent.Vocabulary([b"a", b"b", b"c", b"\n"], np.array([900_000, 700_000, 20, 100]), 1_600_120, 4)
+    n = 200_000
+    a, b, c = (v.words.index(w) for w in (b"a", b"b", b"c"))
+    rows = np.vstack([np.full(n, c), np.full(n, a), np.full(n, b), np.full(n, c)]).astype(np.uint32)
+    salt = np.random.default_rng(2).integers(0, 1 << 62, n).astype(np.uint64)
+    assert np.bincount(maxent.deal(v, rows, salt)).max() < n / 10
+    rows[1] = c
+    assert len(set(maxent.deal(v, rows, salt).tolist())) == 1
+    rows[1], rows[2] = a, c
+    assert len(set(maxent.deal(v, rows, salt).tolist())) == 1
+
+
+def test_words_by_arrow_kernels():
+    texts = ["", None, "  A b\x0bC\fd\r\ne ", "É ÀB \x1cx\x85y\u2003z", "x" * 100 + " " + "X" * 100, "\t\n"]
+    found, own, sizes = maxent.words(pa.array(texts))
+    every = found.to_pylist()
+    flat = [every[i] for i in own]
+    want = [[maxent.short(w) for w in (t or "").translate(LOW).encode().split()] for t in texts]
+    assert flat == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
 
 
 @pytest.mark.parametrize("key", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZg==", "16C7e42F292c6912E7710c838347Ae178B4a", "AIzaSyD4xK9_vQ2mPzR7tWbN3cLhG5jUeYfS8aOi"])
