@@ -133,11 +133,12 @@ def shingle_frequency(docs: DataFrame, shingles: set[tuple[bytes, ...]]) -> dict
 def clean(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of df whose texts hold no window of any item, as they are. Null texts are clean."""
     at, rows = df.columns.index(text_col), unnamed(df)
+    texts = rows.select(F.col(f"c{at}").alias("text"))  # counted whole for each block, whatever blocks before it drop
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         wanted = _wanted(block, window)
         if not wanted:
             continue
-        index = df.sparkSession.sparkContext.broadcast(Index(block, window, shingle_frequency(rows.select(F.col(f"c{at}").alias("text")), wanted)))
+        index = df.sparkSession.sparkContext.broadcast(Index(block, window, shingle_frequency(texts, wanted)))
 
         def run(batches, index=index):
             own = index.value

@@ -22,11 +22,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import LOWER_BYTES, map_batches, pick, unnamed
+from tapeloom.llm.common import LOWER_BYTES, filesystem, map_batches, pick, unnamed
 from tapeloom.llm.graph import components as connected
 from tapeloom.session import cut, scratch
 
@@ -229,9 +230,24 @@ def hex_print(col):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
+_PLACES = (1 << 33) - 1  # monotonically_increasing_id: the partition's number above so many places
+
+
+def _gone(folder: str, part: int) -> np.ndarray:
+    """The places of the rows of a partition that go, from its file in the shared folder."""
+    fs, path = filesystem(f"{folder}/part={part}")
+    if fs.get_file_info(path).type.name != "Directory":
+        return np.empty(0, np.int64)
+    return pq.read_table(path, columns=["place"], filesystem=fs, partitioning=None)["place"].to_numpy()
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of df, one of each component: that with the least id, nulls last; of repeated ids any one row."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, "prints")
+    """The rows of df, one of each component: that with the least id, nulls last; of repeated ids any one row.
+
+    Rows are written once, with numbers; which of them go is written by partition, and a second pass leaves them out. So
+    texts are never shuffled.
+    """
+    spark, path, gone = df.sparkSession, scratch(df.sparkSession, "prints"), scratch(df.sparkSession, "gone")
     own = unnamed(df)
     text, id_at = f"c{df.columns.index(text_col)}", f"c{df.columns.index(id_col)}"
     marked = with_fingerprint(own, text, "_fp", shingle).withColumn("_row", F.monotonically_increasing_id())
@@ -239,6 +255,22 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dist
     rows = spark.read.parquet(path)
     small = rows.select(F.col(id_at).alias("id"), "_fp", "_row")
     prints = cut(small.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_row")).alias("first")))
-    found = prints.join(roots(prints.select("fp"), distance), "fp", "left")
-    kept = found.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*own.columns).toDF(*df.columns)
+    found = cut(prints.join(roots(prints.select("fp"), distance), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    first = found.groupBy("root").agg(F.min("first").alias("kept")).select("root", F.col("kept._row").alias("kept"))
+    kept = found.join(first, "root").select(F.col("fp").alias("_fp"), "kept")
+    dropped = small.select("_fp", "_row").join(kept, "_fp").where("kept <> _row")
+    dropped.select(F.shiftright("_row", 33).alias("part"), F.col("_row").bitwiseAND(_PLACES).alias("place")).repartition("part").write.partitionBy("part").parquet(gone)
+
+    def run(batches):
+        have, places = None, None
+        for batch in batches:
+            row = batch.column(batch.num_columns - 1).to_numpy()
+            keep = np.ones(len(row), bool)
+            for part in np.unique(row >> 33).tolist():
+                if part != have:
+                    have, places = part, _gone(gone, part)
+                here = row >> 33 == part
+                keep[here] = ~np.isin(row[here] & _PLACES, places)
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:-1]), names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return map_batches(rows.select(*own.columns, "_row"), run, own.schema).toDF(*df.columns)
