@@ -16,22 +16,26 @@ def application_key(value: Column) -> Column:
     return F.when(clean.isin(*APPL_VERSIONS), clean).when(clean != "", fix.version(clean))
 
 
-def negotiated(messages: DataFrame, tables: Tables, stream: list[str], order: list[str]) -> DataFrame:
-    """With negotiated: the dictionary of the last resolvable tag 1137 of the stream so far, this message's included."""
+def negotiated(messages: DataFrame, tables: Tables, stream: list[str], order: list[str], carried: DataFrame | None = None) -> DataFrame:
+    """With negotiated: the dictionary of the last resolvable tag 1137 of the stream so far, this message's included.
+
+    carried: stream and carried, what was negotiated before these messages.
+    """
     own = messages.withColumn("_k", application_key(fix.first_value("fields", 1137)))
     found = own.join(F.broadcast(tables.applications.select(F.col("version").alias("_k"), F.col("dict_id").alias("_d"))), "_k", "left")
     w = Window.partitionBy(*stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("negotiated", F.last("_d", ignorenulls=True).over(w)).drop("_k", "_d")
+    found = found.withColumn("negotiated", F.last("_d", ignorenulls=True).over(w)).drop("_k", "_d")
+    return found if carried is None else found.join(carried, stream, "left").withColumn("negotiated", F.coalesce("negotiated", "carried")).drop("carried")
 
 
-def choose(messages: DataFrame, tables: Tables, fallback: str, stream: list[str] = ("file",), order: list[str] = ("line_no", "msg_idx")) -> DataFrame:
+def choose(messages: DataFrame, tables: Tables, fallback: str, stream: list[str] = ("file",), order: list[str] = ("line_no", "msg_idx"), carried: DataFrame | None = None) -> DataFrame:
     """With dict_id, the first that holds of: a BeginString of no transport version names it; the transport dictionary
     has the MsgType; tag 1128 names it; an earlier 1137 did; the fallback.
 
     messages: with fields. fallback: a dict_id.
     """
     begin, kind = F.col("_begin"), F.col("_type")
-    own = negotiated(messages, tables, list(stream), list(order)).withColumn("_begin", fix.first_value("fields", 8)).withColumn("_type", fix.first_value("fields", 35)).withColumn("_a", application_key(fix.first_value("fields", 1128)))
+    own = negotiated(messages, tables, list(stream), list(order), carried).withColumn("_begin", fix.first_value("fields", 8)).withColumn("_type", fix.first_value("fields", 35)).withColumn("_a", application_key(fix.first_value("fields", 1128)))
     own = own.withColumn("_key", fix.begin_string_key(begin))
     catalog = F.broadcast(tables.catalog.select(F.col("key").alias("_key"), F.col("dict_id").alias("_named")))
     applications = F.broadcast(tables.applications.select(F.col("version").alias("_a"), F.col("dict_id").alias("_stated")))

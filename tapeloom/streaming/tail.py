@@ -2,7 +2,9 @@
 
 The offset is the number of bytes read of each file. Only whole lines are given out; a line that has not ended waits
 for the next batch, so that a message cut in two by a read is not lost. A read of maxBytes that holds no line end goes on
-until one is found, so that a longer line is given out too. A file that has shrunk is read from its start.
+until one is found or maxPending bytes are held. A line that is longer, ended or not, is given out in pieces under its
+number, each cut where the last message in it starts, if that message is within the bound: so what waits is bounded, and
+a message is never cut in two that the bound can hold. A file that has shrunk is read from its start.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from tapeloom.functions import fix
 from tapeloom.operators import messages
 from tapeloom.session import ship
 
+#: How much of a line without an end may wait.
+PENDING = 1 << 20
 SCHEMA = "file string, file_ordinal int, line_no long, line string"
 
 
@@ -30,7 +35,7 @@ class TailSource(DataSource):
         return SCHEMA
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return TailReader(self.options["path"], int(self.options.get("maxBytes", 1 << 24)))
+        return TailReader(self.options["path"], int(self.options.get("maxBytes", 1 << 24)), int(self.options.get("maxPending", PENDING)))
 
 
 def _line_end(data: bytes) -> int:
@@ -38,10 +43,10 @@ def _line_end(data: bytes) -> int:
     return max(data.rfind(b"\n"), data.rfind(b"\r", 0, -1)) + 1
 
 
-def _read_on(f, data: bytes, most: int) -> tuple[bytes, int]:
-    """(data and what follows it up to a read with a line end, or all that there is; where the last whole line ends)"""
+def _read_on(f, data: bytes, most: int, pending: int) -> tuple[bytes, int]:
+    """(data and what follows it up to a read with a line end, to more than the bound, or to the end; where the last whole line ends)"""
     parts, size, last, more = [data], len(data), data[-1:], True
-    while more:
+    while more and size <= pending:
         part = f.read(most)
         more = len(part) == most
         if found := _line_end(last + part):
@@ -51,9 +56,25 @@ def _read_on(f, data: bytes, most: int) -> tuple[bytes, int]:
     return b"".join(parts), 0
 
 
+def _piece(data: bytes, pending: int) -> int:
+    """How much of an open line beyond the bound is given out: up to the last message start, if what is left fits the bound."""
+    at = data.rfind(fix.BEGIN.encode())
+    if at > 0 and len(data) - at <= pending:
+        return at
+    if data.endswith(b"\r"):  # it may be half of a line end
+        return len(data) - 1
+    for back in range(1, min(4, len(data))):  # not within a character
+        lead = data[-back]
+        if lead >= 0xC0 and 2 + (lead >= 0xE0) + (lead >= 0xF0) > back:
+            return len(data) - back
+        if lead < 0x80 or lead >= 0xC0:
+            break
+    return len(data)
+
+
 class TailReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def __init__(self, path: str, most: int, pending: int = PENDING):
+        self.path, self.most, self.pending = path, most, pending
 
     def initialOffset(self) -> dict:
         return {}
@@ -69,12 +90,16 @@ class TailReader(SimpleDataSourceStreamReader):
                 data = f.read(self.most if end is None else max(0, end.get(file, [at, 0])[0] - at))
                 whole = _line_end(data)
                 if end is None and not whole and len(data) == self.most:
-                    data, whole = _read_on(f, data, self.most)
-            data = data[:whole]
-            for line in data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")[:-1]:
+                    data, whole = _read_on(f, data, self.most, self.pending)
+            open_line = not whole and bool(data) and (end is not None or len(data) > self.pending)
+            if open_line and end is None:
+                data = data[: _piece(data, self.pending)]
+            elif not open_line:
+                data = data[:whole]
+            for line in data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")[: None if open_line else -1]:
                 line_no += 1
                 rows.append((file, i, line_no, line))
-            upto[file] = [at + len(data), line_no]
+            upto[file] = [at + len(data), line_no - open_line]
         return iter(rows), upto
 
     def read(self, start: dict):

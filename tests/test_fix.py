@@ -12,7 +12,7 @@ from tapeloom.functions import fix
 from tapeloom.operators import counts, decode, dictionary, explore, messages, obfuscate, orders, session, validate
 from tapeloom.plans import fix_queries
 from tapeloom.sources import arguments, logs
-from tapeloom.streaming import tail
+from tapeloom.streaming import carried, tail
 
 SF = "/root/testdata/sf0.001"
 S = "\x01"
@@ -256,6 +256,68 @@ def test_following_lines_longer_than_a_read(tmp_path, most):
     assert [(r[2], r[3]) for r in rows] == [(5, "open" + " line" * 30)] and list(reader.readBetweenOffsets(at, end)) == rows
 
 
+def test_a_line_without_end_waits_within_a_bound(tmp_path):
+    """What exceeds the bound is given out under the line's number, cut at the last message start, and never within a character."""
+    path, at, got = tmp_path / "a.log", {}, []
+    reader = tail.TailReader(str(path), 1 << 10, 200)
+    steps = ["one\n" + "z" * 150, "é" * 60, "w" * 120 + "8=FIX.4.4" + "q" * 100, "r" * 20 + "\nlast\n", "é" * 300]
+    for step in steps:
+        with path.open("ab") as f:
+            f.write(step.encode())
+        for _ in range(3):
+            rows, end = reader.read(at)
+            rows = list(rows)
+            assert list(reader.readBetweenOffsets(at, end)) == rows
+            got += [(r[2], r[3]) for r in rows]
+            at = end
+    assert got[0] == (1, "one") and "".join(x for n, x in got if n == 2) == "z" * 150 + "é" * 60 + "w" * 120 + "8=FIX.4.4" + "q" * 100 + "r" * 20
+    assert [x for n, x in got if n == 2 and "8=FIX" in x] == ["8=FIX.4.4" + "q" * 100 + "r" * 20] and (3, "last") in got and "".join(x for n, x in got if n == 4) == "é" * 300
+
+
+@pytest.fixture
+def sessions():
+    """Lines of two files in three batches; the second file negotiates a version in its first batch, the first in its second."""
+    plain = [enc(f"35=D|49=P{i % 3}|56=Q{i}|11=A{i}|", "FIXT.1.1") for i in range(6)]
+    logon = enc("35=A|49=P9|1137=6|", "FIXT.1.1")
+    steps = [[("a", plain[0]), ("b", logon), ("b", plain[1])], [("a", logon), ("a", plain[2]), ("b", plain[3])], [("a", plain[4]), ("b", plain[5]), ("b", "no message"), ("a", plain[0])]]
+    out, at = [], {"a": 0, "b": 0}
+    for step in steps:
+        out.append([])
+        for file, line in step:
+            at[file] += 1
+            out[-1].append((file, 0, at[file], line))
+    return out
+
+
+def _in_batches(spark, folder, steps, start):
+    """Runs a stream over the steps, each a batch, and then once more from its checkpoint; rows by batch number."""
+    source, seen = folder / "in", {}
+    source.mkdir()
+    lines = spark.readStream.schema(tail.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
+    for step in steps:
+        spark.createDataFrame(step, tail.SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        job = start(lines, lambda rows, number: seen.__setitem__(number, rows.collect())).option("checkpointLocation", str(folder / "checkpoint")).trigger(availableNow=True).start()
+        job.awaitTermination()
+    return [r for rows in seen.values() for r in rows]
+
+
+def test_a_stream_keeps_the_negotiated_version(spark, tables, tmp_path, sessions):
+    got = _in_batches(spark, tmp_path, sessions, lambda lines, write: carried.choose(lines, tables, "FIXT11@built-in", str(tmp_path / "left"), write))
+    every = spark.createDataFrame([r for step in sessions for r in step], tail.SCHEMA)
+    want = session.choose(messages.parse(messages.extract(every)), tables, "FIXT11@built-in").collect()
+    key = lambda rows: sorted((r.file, r.line_no, r.dict_id, str(r.negotiated)) for r in rows)
+    assert key(got) == key(want)
+    assert len({r.dict_id for r in got}) > 1
+
+
+def test_a_stream_keeps_its_aliases(spark, tables, tmp_path, sessions):
+    got = _in_batches(spark, tmp_path, sessions, lambda lines, write: carried.hide(lines, tables, str(tmp_path / "left"), write))
+    every = spark.createDataFrame([r for step in sessions for r in step], tail.SCHEMA)
+    want = obfuscate.lines(every, tables).collect()
+    assert sorted((r.file, r.line_no, r.line) for r in got) == sorted((r.file, r.line_no, r.line) for r in want)
+    assert not any("=P" in r.line or "=Q" in r.line for r in got)
+
+
 def test_following_a_growing_file(spark, tmp_path):
     file = tmp_path / "live.log"
     file.write_text(HEARTBEAT + "\n" + HEARTBEAT[:30])
