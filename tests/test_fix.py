@@ -310,6 +310,24 @@ def test_a_stream_keeps_the_negotiated_version(spark, tables, tmp_path, sessions
     assert len({r.dict_id for r in got}) > 1
 
 
+@pytest.mark.parametrize(("block", "most"), [(1, 100), (2, 100), (3, 0), (1 << 16, 100)])
+def test_versions_are_negotiated_by_blocks(spark, tables, monkeypatch, block, most):
+    """The same as one walk over each file, whatever the blocks; with few blocks allowed the join is a shuffle."""
+    monkeypatch.setattr(session, "BLOCK", block)
+    monkeypatch.setattr(session, "MOST", most)
+    versions = [None, None, "6", None, "X", None, "T11", None, None, "6", None, None]
+    rows = [(f, 0, i + 1, enc("35=D|11=A|" + (f"1137={v}|" if v and (f != "b" or i > 5) else ""), "FIXT.1.1")) for f in "abc" for i, v in enumerate(versions) if f != "c" or v is None]
+    own = messages.parse(messages.extract(spark.createDataFrame(rows, tail.SCHEMA)))
+    got = {(r.file, r.line_no): r.negotiated for r in session.negotiated(own, tables, ["file"], ["line_no", "msg_idx"]).collect()}
+    known = {r.version: r.dict_id for r in tables.applications.collect()}
+    now, want = {}, {}
+    for f, _, n, line in rows:
+        stated = line.split("1137=")[1].split(S)[0] if "1137=" in line else None
+        now[f] = known.get(stated) or known.get(f"FIX{stated}") or now.get(f)
+        want[f, n] = now[f]
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_a_stream_keeps_its_aliases(spark, tables, tmp_path, sessions):
     got = _in_batches(spark, tmp_path, sessions, lambda lines, write: carried.hide(lines, tables, str(tmp_path / "left"), write))
     every = spark.createDataFrame([r for step in sessions for r in step], tail.SCHEMA)
