@@ -31,7 +31,8 @@ def negotiated(messages: DataFrame, tables: Tables, stream: list[str], order: li
     """
     block, place = F.floor(F.col(order[0]) / BLOCK).alias("_block"), F.struct(*order)
     applications = F.broadcast(tables.applications.select(F.col("version").alias("_k"), F.col("dict_id").alias("_d")))
-    told = messages.select(*stream, *order, application_key(fix.first_value("fields", 1137)).alias("_k")).where("_k IS NOT NULL").join(applications, "_k")
+    maybe = messages.where(F.contains("raw", F.lit("1137="))) if "raw" in messages.columns else messages  # most are never parsed for it
+    told = maybe.select(*stream, *order, application_key(fix.first_value("fields", 1137)).alias("_k")).where("_k IS NOT NULL").join(applications, "_k")
     changes = cut(told.groupBy(*stream, block).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "_d"))).alias("_list")))
     n = changes.agg(F.coalesce(F.sum(F.size("_list")), F.lit(0))).first()[0]
     none = F.lit(None).cast("string")
