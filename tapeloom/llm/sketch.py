@@ -117,6 +117,6 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
 
 def order():
     """The window of with_next."""
-    return Window.partitionBy("bucket").orderBy("sentinel", F.col("key").desc(), "text")
+    return Window.partitionBy("bucket").orderBy("sentinel", F.col("key").desc(), F.col("doc_id").isNull(), "text")
 
 
