@@ -359,6 +359,62 @@ def test_maxent_deals_common_contexts():
     assert len(set(maxent.deal(v, rows, salt).tolist())) == 1
 
 
+def test_maxent_learns_where_every_context_is_met_again():
+    v, pool, _ = _small_model()
+    rows = np.vstack([pool[:12], *np.repeat(pool[[3, 1, 2], None], 12, axis=1)])
+    weight = np.arange(12) + 1
+    assert maxent.learn_and_score(v, rows, weight, weight) == pytest.approx(_plain_scores(v, rows, weight.tolist(), weight.tolist()), rel=0.01, abs=0.02)
+
+
+def test_maxent_totals_stand_for_tokens_elsewhere(monkeypatch):
+    """Parts of contexts' tokens, each with the totals of what follows, are scored as all tokens together."""
+    monkeypatch.setattr(maxent, "slots", lambda f, n, bits: np.unique(f.astype(np.int64) << 32 | n, return_inverse=True)[1])
+    v, _, _ = _small_model()
+    rng = np.random.default_rng(9)
+    rows = np.unique(np.vstack([rng.integers(0, 12, (1, 900)), rng.integers(0, 3, (3, 900))]), axis=1).astype(np.uint32)
+    weight = rng.integers(0, 4, rows.shape[1])
+    copies = weight + 1
+    whole = maxent.learn_and_score(v, rows, weight, copies)
+    for length in (1, 2, 3):
+        part = rng.integers(0, 3, rows.shape[1]) if length == 3 else rows[length + 1]  # by the next word, three by chance
+        totals = []
+        for n in range(1, length + 1):
+            for context in np.unique(rows[1 : n + 1], axis=1).T:
+                mine = (rows[1 : n + 1] == context[:, None]).all(axis=0)
+                totals.append((context, np.arange(12), *(np.bincount(rows[0, mine], weights=x[mine], minlength=12) for x in (weight, copies))))
+        for k in range(3):
+            some = part == k
+            assert maxent.learn_and_score(v, rows[:, some], weight[some], copies[some], totals) == pytest.approx(whole[some], rel=2e-3)
+
+
+def test_maxent_learns_common_contexts_from_all_their_tokens(spark, monkeypatch):
+    """Scores are the same whether common words, pairs and triples are dealt over shards or not."""
+    rng = np.random.default_rng(4)
+    follow = rng.dirichlet(np.full(8, 0.3), (8, 8))
+    rows = []
+    for k in range(500):
+        words = [0, int(rng.integers(8))]
+        while len(words) < 25:
+            words.append(int(rng.choice(8, p=follow[words[-2], words[-1]])))
+        rows.append((k, " ".join(WORDS[w] for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = F.col("doc_id") % 10 != 0
+    monkeypatch.setattr(maxent, "SHARD", 500)
+
+    def scores(hot, large):
+        monkeypatch.setattr(maxent, "HOT", hot)
+        monkeypatch.setattr(maxent, "LARGE", large, raising=False)
+        found = maxent.score(docs, model := maxent.fit(docs, learned), learned).collect()
+        return {r.doc_id: r.score for r in found}, model
+
+    whole, _ = scores(1 << 30, 1 << 30)
+    for hot, large, levels in ((200, 1300, 1), (100, 300, 2), (60, 60, 3)):
+        dealt, model = scores(hot, large)
+        assert [dealt[k] for k in range(500)] == pytest.approx([whole[k] for k in range(500)], rel=0.15)  # what collisions in small tables make
+        assert sum(dealt.values()) == pytest.approx(sum(whole.values()), rel=0.01)
+        assert sum(map(len, model.contexts.keys)) > 0 and sum(len(x) > 0 for x in model.contexts.keys) >= levels
+
+
 def test_words_by_arrow_kernels():
     texts = ["", None, "  A b\x0bC\fd\r\ne ", "É ÀB \x1cx\x85y\u2003z", "x" * 100 + " " + "X" * 100, "\t\n"]
     found, own, sizes = maxent.words(pa.array(texts))
