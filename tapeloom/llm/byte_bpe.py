@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.common import map_batches, pick, resident, text_groups
+from tapeloom.llm.common import byte_groups, map_batches, pick, resident, text_groups, trim
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: States: nothing open, letter run, number run, other run, white space run, a space that the next run joins, and one
@@ -34,6 +34,8 @@ BLOCK = 64
 GROUP_CHARS = 1 << 21
 CACHE_PIECES = 600_000
 SHORT, NEVER = 32, (1 << 31) - 1
+#: Bytes of the pieces that are merged at once: the arrays take some 60 times as much.
+MERGED = 1 << 18
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -269,9 +271,10 @@ class Pieces(dict):
                 self[piece] = whole.to_bytes(4, "little")
             elif len(raw) <= SHORT:
                 by_width.setdefault((len(raw) + 3) // 4, []).append(piece)
-        for pieces in by_width.values():
-            for lo in range(0, len(pieces), 1 << 16):
-                part = pieces[lo : lo + (1 << 16)]
+        for width, pieces in by_width.items():
+            most = MERGED // (4 * width)
+            for lo in range(0, len(pieces), most):
+                part = pieces[lo : lo + most]
                 self.update(zip(part, merge_many([p.encode() for p in part], self.byte_ids, self.pairs), strict=True))
 
     def __missing__(self, piece: str) -> bytes:
@@ -302,6 +305,8 @@ class Codec:
                 slices.append([text[a:b] for a, b in zip(at, at[1:], strict=False)])
             self.pieces.prepare(set().union(*slices))
             out += [b"".join(map(get, x)) for x in slices]
+            del slices
+            trim()
         return out
 
     def offsets(self, packed: bytes) -> np.ndarray:
@@ -336,19 +341,16 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         own = codec(vocabulary, classes.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, at = batch.column(0), 0
-            for lo, hi in text_groups(texts, 4 * GROUP_CHARS):
-                packed = own.encode(texts[lo:hi])
+            for lo, hi in byte_groups(batch.column(1), 4 * GROUP_CHARS):
+                packed = own.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, hi - lo), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()),
+                        batch.column(0).slice(lo, hi - lo), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()),
                         pa.array([own.offsets(p).astype("<u4").tobytes() if offsets else None for p in packed], pa.binary()),
                         pa.array([own.decode(p) if decode else None for p in packed], pa.binary()),
                     ],
                     names=["doc_id", "n_tokens", "ids", "offsets", "decoded"],
                 )
-                at = hi
 
     return map_batches(rows, run, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()), ("byte_bpe", vocabulary))
 

@@ -1,9 +1,11 @@
 """The ten operators on a small fixture with nulls, empty and very long texts, ties, repeated rows, and extra columns whose names clash."""
 
 import base64
+import ctypes
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -14,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tapeloom.llm import byte_bpe, decontaminate, langid, maxent, secrets, simhash, simple8b, sketch, token_files, unigram, warc
+from tapeloom.llm import byte_bpe, common, decontaminate, langid, maxent, secrets, simhash, simple8b, sketch, token_files, unigram, warc
 from tapeloom.session import scratch
 
 WORDS = "the of and to in that was for with on be at by this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so".split()
@@ -84,6 +86,33 @@ def test_boundaries_fuzzed():
         assert own.decode(packed) == text.encode()
 
 
+def test_byte_bpe_merges_in_bounded_arrays():
+    own = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), byte_bpe.class_table())
+    letters = np.random.default_rng(5).integers(97, 123, (1 << 16, byte_bpe.SHORT)).astype(np.uint8)
+    pieces = {row.tobytes().decode() for row in letters}
+    tracemalloc.start()
+    try:
+        own.pieces.prepare(pieces)
+        assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    finally:
+        tracemalloc.stop()
+    for piece in sorted(pieces)[::1000]:
+        assert np.frombuffer(own.pieces[piece], "<u4").tolist() == byte_bpe._merge_long(piece.encode(), own.ranks)
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="only glibc can be told to")
+def test_freed_memory_goes_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    arrays = [np.ones(1 << 13) for _ in range(3000)]  # 64 KB each, under what malloc maps on its own
+    most, last = held(), arrays[-1]
+    del arrays
+    common._release(None)
+    assert most - held() > 150_000_000 and last[0] == 1
+
+
 def test_scan_equals_a_loop():
     rng = np.random.default_rng(1)
     acts, _, apply, _ = byte_bpe._monoid()
