@@ -416,6 +416,26 @@ def test_maxent_totals_stand_for_tokens_elsewhere(monkeypatch):
             assert maxent.learn_and_score(v, rows[:, some], weight[some], copies[some], totals) == pytest.approx(whole[some], rel=2e-3)
 
 
+def test_maxent_totals_of_many_targets_take_little_memory():
+    """What follows a common word is summed by halves of classes, not held by target and step, and counts the same."""
+    rng = np.random.default_rng(4)
+    v = maxent.Vocabulary([b"w%d" % i for i in range(1000)], 1_000_000 // np.arange(1, 1001), 20_000_000, 1_000_000)
+    targets = np.unique(rng.integers(1 << 31, 1 << 32, 200_000).astype(np.uint32))
+    learned = rng.integers(0, 9, len(targets))
+    rows = np.vstack([targets[:500], np.full(500, 5), rng.integers(0, 9, (2, 500))]).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        maxent.learn_and_score(v, rows, np.ones(500), np.ones(500), [(np.array([5], np.uint32), targets, learned, learned + 1)])
+        assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    finally:
+        tracemalloc.stop()
+    halves = maxent.Halves(v, np.array([5], np.uint32), targets, learned, learned + 1)
+    steps, node, second, _ = v.expand(targets)
+    assert halves.size == steps.sum() and len(halves.node) < halves.size / 4
+    some = halves.node == node[0]  # the first step is the same for all targets
+    assert halves.learned[some & (halves.second == second[0])].sum() == learned.sum()
+
+
 def test_maxent_learns_common_contexts_from_all_their_tokens(spark, monkeypatch):
     """Scores are the same whether common words, pairs and triples are dealt over shards or not."""
     rng = np.random.default_rng(4)
