@@ -436,6 +436,64 @@ def test_maxent_totals_of_many_targets_take_little_memory():
     assert halves.learned[some & (halves.second == second[0])].sum() == learned.sum()
 
 
+def _count_pairs(monkeypatch):
+    """Tables without collisions that count the pairs of feature and class they are asked for."""
+    asked = []
+
+    def slots(feature, node, bits):
+        asked.append(len(feature))
+        return np.unique(feature.astype(np.int64) << 32 | node, return_inverse=True)[1]
+
+    monkeypatch.setattr(maxent, "slots", slots)
+    return asked
+
+
+def test_maxent_leaves_out_steps_that_nothing_else_takes(monkeypatch):
+    """Where a path has nothing else of its context beside it, or a context no weights, no table is asked; scores are the same."""
+    asked, rng = _count_pairs(monkeypatch), np.random.default_rng(6)
+    v = maxent.Vocabulary([b"w%d" % i for i in range(20)], 50_000 // np.arange(1, 21), 1_000_000, 100_000)
+    pool = np.array([*range(21), *rng.integers(1 << 31, 1 << 32, 60)], np.uint32)
+    rows = np.unique(np.vstack([rng.choice(pool, 900), rng.integers(0, 5, (3, 900)) * rng.integers(1, 3, (3, 900))]).astype(np.uint32), axis=1)
+    weight = rng.integers(0, 3, rows.shape[1])
+    copies = np.maximum(weight, 1)
+    got, steps = maxent.learn_and_score(v, rows, weight, copies), 0
+    paths = [[[int(h), bool(s), float(b)] for h, s, b in zip(*v.expand(rows[0, i : i + 1])[1:], strict=True)] for i in range(rows.shape[1])]
+    for feature, prior in zip(maxent.features(rows[1:]), maxent.PRIOR, strict=True):
+        used = [i for i, f in enumerate(feature) if weight[feature == f].sum() > 0 and copies[feature == f].sum() > 1]
+        up, down = Counter(), Counter()
+        for i in used:
+            steps += len(paths[i])
+            for h, second, z in paths[i]:
+                p = 1 / (1 + math.exp(-z))
+                up[feature[i], h] += weight[i] * (second - p)
+                down[feature[i], h] += weight[i] * p * (1 - p)
+        for i in used:
+            for step in paths[i]:
+                step[2] += up[feature[i], step[0]] / (down[feature[i], step[0]] + prior)
+    assert got == pytest.approx([sum(-math.log(1 + math.exp(-z if second else z)) for _, second, z in path) for path in paths], abs=0.03)
+    assert sum(asked) < steps / 2
+
+
+def test_maxent_learns_totals_apart_from_the_shards(monkeypatch):
+    """What follows a common context is learned once; a shard's tables hold its own rows alone."""
+    asked, rng = _count_pairs(monkeypatch), np.random.default_rng(7)
+    v = maxent.Vocabulary([b"w%d" % i for i in range(1000)], 1_000_000 // np.arange(1, 1001), 20_000_000, 1_000_000)
+    targets = np.unique(rng.integers(1 << 31, 1 << 32, 50_000).astype(np.uint32))
+    rows = np.vstack([targets[:500], np.full(500, 5), rng.integers(0, 9, (2, 500))]).astype(np.uint32)
+    learned = rng.integers(0, 9, len(targets))
+    maxent.learn_and_score(v, rows, np.ones(500), np.ones(500), [(np.array([5], np.uint32), targets, learned, learned + 1)])
+    assert sum(asked) < 3 * v.expand(rows[0])[0].sum()
+
+
+def test_maxent_codes_words_together():
+    rng = np.random.default_rng(3)
+    words = [rng.bytes(n) for n in range(75) for _ in range(5)]
+    rng.shuffle(words)
+    for some in (words, words[:1], [], [b""], [b"x" * 40]):
+        assert maxent.rare_codes(pa.array(some, pa.binary())).tolist() == list(map(maxent.rare_code, some))
+    assert maxent.rare_codes(pa.array(words, pa.binary()).slice(30, 200)).tolist() == list(map(maxent.rare_code, words[30:230]))
+
+
 def test_maxent_learns_common_contexts_from_all_their_tokens(spark, monkeypatch):
     """Scores are the same whether common words, pairs and triples are dealt over shards or not."""
     rng = np.random.default_rng(4)
