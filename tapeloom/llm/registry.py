@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
 import corpus_pipeline
-from tapeloom.llm import q_byte_bpe, q_decontaminate, q_langid, q_maxent, q_secrets, q_simhash, q_sketch, q_token_files, q_unigram, q_warc
+from tapeloom.llm import q_byte_bpe, q_decontaminate, q_langid, q_maxent, q_secrets, q_simhash, q_sketch, q_token_files, q_topk, q_unigram, q_warc
 
-_MODULES = (q_byte_bpe, q_token_files, q_secrets, q_sketch, q_decontaminate, q_maxent, q_unigram, q_warc, q_simhash, q_langid)
+_MODULES = (q_byte_bpe, q_token_files, q_secrets, q_sketch, q_decontaminate, q_maxent, q_unigram, q_warc, q_simhash, q_langid, q_topk)
 
 
 def queries() -> dict:
