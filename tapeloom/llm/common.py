@@ -18,6 +18,7 @@ from tapeloom.session import ship
 
 #: A-Z to a-z and nothing else, as the contracts ask.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
