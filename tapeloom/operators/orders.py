@@ -1,23 +1,31 @@
-"""Order lifecycles: a fold over each stream's messages, in batch or as a stream.
+"""Order lifecycles: which order each message belongs to, and the order's state after it, in batch or as a stream.
 
 A message belongs to the order that any of its ids (OrderID, ClOrdID, OrigClOrdID, in this order) is known to name, else
 to the first of its ids. Each message updates the order and gives a row of its state. An order that ends, or the eldest
-beyond a bound of open ones, is forgotten with its ids, so the state is bounded. The fold reads a partition's rows as
-they stream by, sorted by stream and place; it never gathers a stream in memory.
+beyond a bound of open ones, is forgotten with its ids, so the state is bounded.
+
+In batch the two are apart. Orders are told by ids alone: messages that share ids, directly or by others between them,
+are a component, and components of a stream are followed in any number of tasks. That leaves out the bound, which joins
+all orders of a stream; so the numbers of open orders are summed up along each stream, and only a stream that exceeds
+the bound somewhere is followed again as a whole, its ids alone, in one task that reads them sorted and holds the open
+orders. The states are windows over the messages of an order, whatever told it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, and_
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import fix
+from tapeloom.operators import linked
 from tapeloom.operators.dictionary import Tables
-from tapeloom.session import ship
+from tapeloom.session import cut, scratch, ship
 
 #: Ids in order of precedence, what is kept of a message by tag, statuses that end an order.
 ID_TAGS = (37, 11, 41)
@@ -25,6 +33,9 @@ KEPT = {"order_id": 37, "cl_ord_id": 11, "orig_cl_ord_id": 41, "exec_type": 150,
 DESCRIBED = ("exec_type", "ord_status", "side")
 TERMINAL = ("2", "3", "4", "8", "C")
 MOST_OPEN = 10_000
+IDS = ("order_id", "cl_ord_id", "orig_cl_ord_id")
+#: Places of a bucket along which open orders are summed up.
+BUCKET = 1 << 16
 LABELS = {"order": "Order", "message": "Message", "order_id": "OrderID", "cl_ord_id": "ClOrdID", "orig_cl_ord_id": "OrigClOrdID", "exec_type": "ExecType", "ord_status": "OrdStatus", "side": "Side", "symbol": "Symbol", "quantity": "OrderQty", "price": "Price", "cum_quantity": "CumQty", "leaves_quantity": "LeavesQty", "last_quantity": "LastQty", "last_price": "LastPx", "text": "Text", "events": "Events"}
 _STATE = ["key", "events", "message", *KEPT, "terminal"]
 
@@ -47,66 +58,115 @@ def inputs(messages: DataFrame, tables: Tables, stream: list[str], order: list[s
     return own.select(*stream, *order, "message", *KEPT, "terminal")
 
 
-class Fold:
-    """The open orders of one stream."""
+class Keys:
+    """Which order each message of one stream belongs to."""
 
-    def __init__(self, most_open: int = MOST_OPEN):
-        self.orders: dict[str, dict] = {}
+    def __init__(self, most_open: int | None = MOST_OPEN):
+        self.orders: dict[str, int] = {}  # open ones, eldest first, with the row that opened them
         self.alias: dict[str, str] = {}
         self.ids: dict[str, set[str]] = {}
         self.most_open = most_open
 
-    def _key(self, ids: list[str]) -> str | None:
-        return next((self.alias[i] for i in ids if i in self.alias), ids[0] if ids else None)
-
-    def _forget(self, key: str) -> None:
+    def forget(self, key: str) -> None:
         del self.orders[key]
         for i in self.ids.pop(key, ()):
             if self.alias.get(i) == key:
                 del self.alias[i]
 
-    def accept(self, row: dict) -> dict | None:
-        """The state after a message, or None if it has no id."""
-        ids = [i for i in (row["order_id"], row["cl_ord_id"], row["orig_cl_ord_id"]) if i is not None]
-        if (key := self._key(ids)) is None:
-            return None
-        state = self.orders.setdefault(key, {"key": key, "events": 0, **dict.fromkeys(KEPT)})
-        state["events"] += 1
-        state["message"], state["terminal"] = row["message"], row["terminal"]
-        state.update({k: row[k] for k in KEPT if row[k] is not None})
+    def accept(self, ids: list[str], ends: bool, row: int) -> tuple[str, int]:
+        """(key, row that opened the order) of a message with these ids."""
+        key = next((self.alias[i] for i in ids if i in self.alias), ids[0])
+        opened = self.orders.setdefault(key, row)
+        own = self.ids.setdefault(key, set())
         for i in ids:
             self.alias[i] = key
-            self.ids.setdefault(key, set()).add(i)
-        out = dict(state)
-        if row["terminal"]:
-            self._forget(key)
-        elif len(self.orders) > self.most_open:
-            self._forget(next(iter(self.orders)))
-        return out
-
-
-def summaries(messages: DataFrame, tables: Tables, stream: list[str] = ("file",), order: list[str] = ("line_no", "msg_idx"), most_open: int = MOST_OPEN) -> DataFrame:
-    """A row for each message with an order id: the stream's and order's columns, key, events, message, the latest values, terminal."""
-    stream, order = list(stream), list(order)
-    rows = inputs(messages, tables, stream, order).repartition(*stream).sortWithinPartitions(*stream, *order)
-    ship(messages.sparkSession)
-    names = [*stream, *order]
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+            own.add(i)
+        if ends:
+            self.forget(key)
+        elif self.most_open is not None and len(self.orders) > self.most_open:
+            self.forget(next(iter(self.orders)))
+        return key, opened
+
+
+def _followed(rows: DataFrame, by: list[str], order: list[str], most_open: int | None) -> DataFrame:
+    """The rows' columns but ids and terminal, key, opened and delta (how many more orders are open after it), followed apart for each value of by."""
+    ship(rows.sparkSession)
+    kept = [c for c in rows.columns if c not in (*IDS, "terminal", *by)] + by
+    sorted_rows = rows.select(*kept, "terminal", *IDS).repartition(*by).sortWithinPartitions(*by, *order, "row")
+    own = [kept.index(c) for c in by]
+    row_at = kept.index("row")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        now, fold = None, Fold(most_open)
+        now, keys = None, Keys(most_open)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if (own := tuple(row[c] for c in stream)) != now:
-                    now, fold = own, Fold(most_open)
-                if state := fold.accept(row):
-                    out.append({**{c: row[c] for c in names}, **state})
-            if out:
-                kinds = {c: batch.schema.field(c).type for c in names} | {"events": pa.int64(), "terminal": pa.bool_()}
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds.get(c, pa.string())) for c in [*names, *_STATE]], names=[*names, *_STATE])
+            groups = zip(*(batch.column(i).to_pylist() for i in own), strict=True)
+            rows, ends, *ids = (batch.column(i).to_pylist() for i in (row_at, *range(len(kept), len(kept) + 4)))
+            told, opened = [], []
+            for group, row, end, *named in zip(groups, rows, ends, *ids, strict=True):
+                if group != now:
+                    now, keys = group, Keys(most_open)
+                key, first = keys.accept([i for i in named if i is not None], end, row)
+                told.append(key)
+                opened.append(first)
+            delta = [(first == row) - end for first, row, end in zip(opened, rows, ends, strict=True)]
+            more = [pa.array(told, pa.string()), pa.array(opened, pa.int64()), pa.array(delta, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more], names=[*kept, "key", "opened", "delta"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted_rows.schema[: len(kept)])
+    return sorted_rows.mapInArrow(run, f"{head}, key string, opened long, delta int")
+
+
+def _same(a: str, b: str, columns: list[str]) -> Column:
+    return reduce(and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
+
+
+def exceeding(told: DataFrame, stream: list[str], order: list[str], most_open: int) -> DataFrame:
+    """The streams in which more orders are open at once than the bound; told: stream, order and delta of messages.
+
+    Sums run within buckets of places and then over buckets, so no task holds a stream.
+    """
+    large = cut(told.groupBy(*stream).agg(F.sum((F.col("delta") > 0).cast("long")).alias("n")).where(F.col("n") > most_open).drop("n"))
+    if large.isEmpty():  # not as many were ever opened
+        return large
+    own = told.where("delta <> 0").alias("t").join(large.alias("l"), _same("t", "l", stream), "left_semi").withColumn("bucket", F.floor(F.col(order[0]).cast("double") / BUCKET).cast("long"))
+    upto = F.sum("delta").over(Window.partitionBy(*stream, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = own.withColumn("upto", upto).groupBy(*stream, "bucket").agg(F.max("upto").alias("most"), F.sum("delta").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*stream).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut(sums.withColumn("before", before).where(F.col("before") + F.col("most") > most_open).select(*stream).distinct())
+
+
+def assign(rows: DataFrame, stream: list[str], order: list[str], most_open: int = MOST_OPEN) -> DataFrame:
+    """row, key and opened (the row of its order's first message) of rows with ids; rows: row, stream, order, the three ids, terminal."""
+    nodes = [F.when(F.col(c).isNotNull(), F.xxhash64(*stream, c)) for c in IDS]
+    several = reduce(add, (F.col(c).isNotNull().cast("int") for c in IDS)) > 1
+    roots = linked.components(rows.where(several).select(*(n.alias(f"node_{c}") for n, c in zip(nodes, IDS, strict=True))))
+    own = rows.withColumn("node", F.coalesce(*nodes)).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("node", "root")
+    told = cut(_followed(own, [*stream, "part"], order, None).drop("part"))
+    over = exceeding(told, stream, order, most_open)
+    told = told.select("row", *stream, "key", "opened")
+    if over.isEmpty():
+        return told.drop(*stream)
+    again = cut(_followed(rows.alias("r").join(over.alias("o"), _same("r", "o", stream), "left_semi"), stream, order, most_open))
+    return told.alias("t").join(over.alias("o"), _same("t", "o", stream), "left_anti").drop(*stream).unionByName(again.select("row", "key", "opened"))
 
-    return rows.mapInArrow(run, f"{head}, key string, events long, message string, {', '.join(f'{k} string' for k in KEPT)}, terminal boolean")
+
+def summaries(messages: DataFrame, tables: Tables, stream: list[str] = ("file",), order: list[str] = ("line_no", "msg_idx"), most_open: int = MOST_OPEN) -> DataFrame:
+    """A row for each message with an order id: the stream's and order's columns, key, events, message, the latest values, terminal.
+
+    What is kept of messages is written once to the shared folder, from which ids and states are read apart.
+    """
+    stream, order, spark = list(stream), list(order), messages.sparkSession
+    path = scratch(spark, "orders")
+    kept = inputs(messages, tables, stream, order).where(F.coalesce(*IDS).isNotNull())
+    clear = {c: f"_{i}" for i, c in enumerate([*stream, *order])}
+    kept.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(n) for c, n in clear.items()), "message", *KEPT, "terminal").write.parquet(path)
+    rows = spark.read.parquet(path)
+    s, o = [clear[c] for c in stream], [clear[c] for c in order]
+    told = assign(rows.select("row", *s, *o, *IDS, "terminal"), s, o, most_open)
+    so_far = Window.partitionBy("opened").orderBy(*o, "row").rowsBetween(Window.unboundedPreceding, 0)
+    latest = {c: F.last(c, ignorenulls=True).over(so_far).alias(c) for c in KEPT}
+    states = rows.join(told, "row").select(*(F.col(n).alias(c) for c, n in clear.items()), "key", F.count("*").over(so_far).alias("events"), "message", *latest.values(), "terminal")
+    return states
 
 
 def lines(states: DataFrame) -> DataFrame:
@@ -116,6 +176,33 @@ def lines(states: DataFrame) -> DataFrame:
     return shown.withColumn("rendered", F.concat_ws("\n", F.lit("Order Summary:"), *parts, F.lit("")))
 
 
+class Fold(Keys):
+    """Keys with the state of each open order."""
+
+    def __init__(self, most_open: int | None = MOST_OPEN):
+        super().__init__(most_open)
+        self.states: dict[int, dict] = {}
+        self.rows = 0
+
+    def forget(self, key: str) -> None:
+        del self.states[self.orders[key]]
+        super().forget(key)
+
+    def state(self, row: dict) -> dict | None:
+        """The state after a message, or None if it has no id."""
+        ids = [i for i in (row[c] for c in IDS) if i is not None]
+        if not ids:
+            return None
+        self.rows += 1
+        key = next((self.alias[i] for i in ids if i in self.alias), ids[0])
+        state = self.states.setdefault(self.orders.get(key, self.rows), {"key": key, "events": 0, **dict.fromkeys(KEPT)})
+        state["events"] += 1
+        state["message"], state["terminal"] = row["message"], row["terminal"]
+        state.update({k: row[k] for k in KEPT if row[k] is not None})
+        self.accept(ids, row["terminal"], self.rows)
+        return dict(state)
+
+
 STATE_SCHEMA = "orders string"
 
 
@@ -131,11 +218,11 @@ def stream_summaries(messages: DataFrame, tables: Tables, stream: str = "file",
     def fold(key, batches, state):
         own = Fold(most_open)
         if state.exists:
-            own.orders, own.alias, ids = json.loads(state.get[0])
-            own.ids = {k: set(v) for k, v in ids.items()}
+            own.orders, own.alias, ids, states, own.rows = json.loads(state.get[0])
+            own.ids, own.states = {k: set(v) for k, v in ids.items()}, {int(k): v for k, v in states.items()}
         rows = pd.concat(list(batches)).sort_values(order)
-        out = [s for r in rows.astype(object).where(rows.notna(), None).to_dict("records") if (s := own.accept(r))]
-        state.update((json.dumps([own.orders, own.alias, {k: sorted(v) for k, v in own.ids.items()}]),))
+        out = [s for r in rows.astype(object).where(rows.notna(), None).to_dict("records") if (s := own.state(r))]
+        state.update((json.dumps([own.orders, own.alias, {k: sorted(v) for k, v in own.ids.items()}, own.states, own.rows]),))
         if out:
             yield pd.DataFrame(out).assign(**{stream: key[0]})[[stream, *_STATE]]
 

@@ -445,7 +445,7 @@ s AS (SELECT k, 0 AS n, 1 AS events, NULL AS q, FALSE AS terminal FROM i GROUP B
 
 @query(f"{_LIFE} SELECT k * 1000 + n AS line_no, concat('C', k) AS key, CAST(events AS BIGINT) AS events, CAST(q AS VARCHAR) AS last_quantity, CASE WHEN n = 0 THEN 'NewOrderSingle (D)' ELSE 'ExecutionReport (8)' END AS message, '1 (BUY)' AS side, concat('SYM', k % 50) AS symbol, terminal FROM s")
 def order_summaries(spark, sf_dir):
-    return orders.summaries(_lifecycles(spark, sf_dir), _tables(spark), most_open=1 << 30).select("line_no", "key", "events", "last_quantity", "message", "side", "symbol", "terminal")
+    return orders.summaries(_lifecycles(spark, sf_dir), _tables(spark)).select("line_no", "key", "events", "last_quantity", "message", "side", "symbol", "terminal")
 
 
 @query(f"{_LIFE} SELECT k AS order_key, CAST(max(events) AS BIGINT) AS events, CAST(arg_max(q, n) AS VARCHAR) AS last_quantity FROM s GROUP BY k")
@@ -468,10 +468,25 @@ def order_alias_chain(spark, sf_dir):
     steps = [("35=D{s}11=A', k, '{s}", 0), ("35=G{s}41=A', k, '{s}11=B', k, '{s}", 1), ("35=8{s}37=X', k, '{s}11=Z', k, '{s}41=B', k, '{s}39=4{s}", 2), ("35=D{s}11=B', k, '{s}", 3)]
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), fix.encode("FIX.4.4", F.expr("concat('" + text.replace("{s}", SOH) + "')")).alias("line")) for text, n in steps)))
     lines = own.select("k", rows.alias("x")).select(F.concat(F.lit("f"), (F.col("k") % 16).cast("string")).alias("file"), F.lit(0).alias("file_ordinal"), (F.col("k") * 10 + F.col("x.n")).alias("line_no"), "x.line")
-    found = orders.summaries(messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(_FIX44)), _tables(spark), most_open=1 << 30)
+    found = orders.summaries(messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(_FIX44)), _tables(spark))
     return found.select(F.floor(F.col("line_no") / 10).cast("long").alias("order_key"), "key", "events")
 
 
+@query("""WITH r AS (SELECT o_orderkey // 4 AS r, concat('f', o_orderkey % 4) AS file, o_orderkey AS k, (SELECT max(o_orderkey) // 4 FROM orders) AS last FROM orders)
+SELECT file, r * 10 AS line_no, concat('C', k) AS key, CAST(1 AS BIGINT) AS events FROM r UNION ALL
+SELECT file, CASE WHEN r % 2 = 0 THEN r * 10 + 105 ELSE r * 10 + 1005 END, concat(CASE WHEN r % 2 = 0 THEN 'C' ELSE 'O' END, k), CASE WHEN r % 2 = 0 THEN 2 ELSE 1 END FROM r WHERE r + 101 < last""")
+def order_bound(spark, sf_dir):
+    """At most 50 open orders a stream: a fill after ten more orders finds its order, one after a hundred starts another under its OrderID."""
+    own = _keyed(spark, sf_dir).withColumn("r", F.expr("k div 4"))
+    own = own.crossJoin(F.broadcast(own.agg(F.max("r").alias("last"))))  # one row
+    new = F.struct((F.col("r") * 10).alias("line_no"), fix.encode("FIX.4.4", F.expr(f"concat('35=D{SOH}11=C', k, '{SOH}')")).alias("line"))
+    fill = F.struct(F.expr("r * 10 + if(r % 2 = 0, 105, 1005)").alias("line_no"), fix.encode("FIX.4.4", F.expr(f"concat('35=8{SOH}37=O', k, '{SOH}11=C', k, '{SOH}39=1{SOH}')")).alias("line"))
+    steps = F.when(F.expr("r + 101 < last"), F.array(new, fill)).otherwise(F.array(new))
+    lines = own.select(F.concat(F.lit("f"), (F.col("k") % 4).cast("string")).alias("file"), F.explode(steps).alias("x")).select("file", F.lit(0).alias("file_ordinal"), "x.*")
+    found = orders.summaries(messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(_FIX44)), _tables(spark), most_open=50)
+    return found.select("file", "line_no", "key", "events")
+
+
 # --- dictionaries ----------------------------------------------------------------------------------------------------------
 
 
