@@ -24,7 +24,7 @@ def enc(body: str, begin: str = "FIX.4.4") -> str:
     return head + f"10={sum(map(ord, head)) % 256:03d}{S}"
 
 
-HEARTBEAT = enc("35=0|49=BUY1|56=SELL1|34=1|52=20250101-00:00:00|")
+HEARTBEAT = enc("35=0|49=ALMOND|56=PECAN|34=417|52=20230619-14:07:33|")
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +84,7 @@ def test_extraction_examples(spark):
     assert got(f"INFO {one} tail") == [one]
     assert got(f"INFO {one} tail".replace(S, "|"), "|") == [one]
     assert got(one[:-8]) == []
-    assert got(f"8=FIX.4.4{S}9=005{S} {HEARTBEAT}") == [HEARTBEAT]
+    assert got(f"8=FIX.4.4{S}9=61{S} {HEARTBEAT}") == [HEARTBEAT]
     assert [fix.delimiter(x) for x in (None, "", "soh", r"\x7C", "|x")] == [S, S, S, "|", "|"]
 
 
@@ -104,26 +104,29 @@ def test_valid_message_has_no_errors(spark, tables, fix44):
 
 
 def test_missing_and_wrong(spark, tables, fix44):
-    assert told(spark, tables, fix44, f"8=FIX.4.4{S}9=005{S}10=000{S}") == [(35, "Missing required tag 35 (MsgType)"), (9, "BodyLength mismatch: got 5, expected 0"), (10, "Checksum mismatch: got 000, expected 045")]
-    assert {t for t, _ in told(spark, tables, fix44, f"8=FIX.4.4{S}9=005{S}35=0{S}10=000{S}")} >= {10, 49, 56}
-    assert (52, "Invalid UTCTIMESTAMP value 20250101-00:00:00BAD for tag 52") in told(spark, tables, fix44, enc("35=0|49=B|56=S|34=1|52=20250101-00:00:00BAD|"))
-    assert told(spark, tables, fix44, enc("35=ZZ|49=B|56=S|34=1|52=20250101-00:00:00|")) == [(35, "Invalid enum value ZZ for tag 35"), (35, "Unknown MsgType: ZZ")]
+    assert told(spark, tables, fix44, f"8=FIX.4.4{S}9=31{S}10=217{S}") == [(35, "Missing required tag 35 (MsgType)"), (9, "BodyLength mismatch: got 31, expected 0"), (10, "Checksum mismatch: got 217, expected 252")]
+    assert {t for t, _ in told(spark, tables, fix44, f"8=FIX.4.4{S}9=31{S}35=1{S}10=217{S}")} >= {10, 34, 52}
+    late = "19991231-25h"
+    assert (52, f"Invalid UTCTIMESTAMP value {late} for tag 52") in told(spark, tables, fix44, enc(f"35=0|49=KIWI|56=PLUM|34=88|52={late}|"))
+    assert told(spark, tables, fix44, enc("35=qq|49=KIWI|56=PLUM|34=88|52=20230619-14:07:33|")) == [(35, "Invalid enum value qq for tag 35"), (35, "Unknown MsgType: qq")]
 
 
 def test_repeats_in_groups_are_allowed(spark, tables, fix44):
-    order = enc("35=D|49=B|56=S|34=1|52=20250101-00:00:00|11=C|453=2|448=A|447=D|452=1|802=2|523=x|523=y|448=B|447=D|452=1|55=I|54=1|60=20250101-00:00:00|40=2|44=1|")
+    party = "448={}|447=D|452=1|"
+    order = enc(f"35=D|49=KIWI|56=PLUM|34=88|52=20230619-14:07:33|11=ord-5|453=2|{party.format('desk')}802=2|523=u|523=v|{party.format('firm')}55=OAT|54=2|60=20230619-14:07:31|40=2|44=3.5|")
     assert told(spark, tables, fix44, order) == []
-    assert told(spark, tables, fix44, enc("35=0|49=B|49=B|56=S|34=1|52=20250101-00:00:00|")) == [(49, "Duplicate tag 49 encountered")]
+    assert told(spark, tables, fix44, enc("35=0|49=KIWI|56=PLUM|56=PLUM|34=88|52=20230619-14:07:33|")) == [(56, "Duplicate tag 56 encountered")]
 
 
 def test_numbers_and_order(spark, tables, fix44):
-    assert told(spark, tables, fix44, enc("35=0|56=S|49=B|34=-1|52=20250101-00:00:00|9x=1|")) == [(34, "Invalid numeric value -1 for tag 34"), (49, "Tag 49 appears out of dictionary order")]
+    found = told(spark, tables, fix44, enc("35=0|49=KIWI|34=-12|56=PLUM|52=20230619-14:07:33|7y=1|"))
+    assert found == [(34, "Invalid numeric value -12 for tag 34"), (56, "Tag 56 appears out of dictionary order")]
 
 
 def test_decoded_lines(spark, tables, fix44):
-    own = session.choose(parsed(spark, [f"8=FIX.4.4{S}9=005{S}10=000{S}"]), tables, fix44)
+    own = session.choose(parsed(spark, [f"8=FIX.4.4{S}9=31{S}10=217{S}"]), tables, fix44)
     lines = [r.rendered for r in decode.lines(own, tables, validate.errors(own, tables)).orderBy("at").collect()]
-    assert lines[2:] == ["     8 (BeginString): FIX.4.4", "     9 (BodyLength): 005  BodyLength mismatch: got 5, expected 0", "    10 (CheckSum): 000  Checksum mismatch: got 000, expected 045", "    35 (MsgType): Missing required tag 35 (MsgType)", ""]
+    assert lines[2:] == ["     8 (BeginString): FIX.4.4", "     9 (BodyLength): 31  BodyLength mismatch: got 31, expected 0", "    10 (CheckSum): 217  Checksum mismatch: got 217, expected 252", "    35 (MsgType): Missing required tag 35 (MsgType)", ""]
 
 
 # --- dictionaries, sessions, counts --------------------------------------------------------------------------------------------
@@ -185,13 +188,13 @@ def test_aliases_are_stable_and_by_file(spark, tables):
 
 
 def test_secret_files(spark, tables, tmp_path):
-    text = f"x\r\n{HEARTBEAT}\xe9\r\nno end 8=FIX.4.4{S}9=5"
+    text = f"x\r\n{HEARTBEAT}\xe9\r\nno end 8=FIX.4.4{S}9=7"
     (tmp_path / "in.log").write_bytes(text.encode("latin-1"))
     own = logs.read_bytes(spark, [str(tmp_path / "in.log")]).withColumn("line_no", F.lit(1))
     hidden = obfuscate.lines(own.withColumnRenamed("text", "line"), tables).select("file", F.col("line").alias("text"))
     (name,) = logs.write_bytes(hidden, str(tmp_path / "out"))
     back = (tmp_path / "out" / "in.secret.log").read_bytes().decode("latin-1")
-    assert name.endswith("out/in.secret.log") and back.startswith("x\r\n8=FIX") and back.endswith(f"\xe9\r\nno end 8=FIX.4.4{S}9=5") and "BUY1" not in back
+    assert name.endswith("out/in.secret.log") and back.startswith("x\r\n8=FIX") and back.endswith(f"\xe9\r\nno end 8=FIX.4.4{S}9=7") and "ALMOND" not in back
     assert [logs.secret_name(x) for x in ("a/b.c.d", ".x", "y")] == ["a/b.c.secret.d", ".x.secret", "y.secret"]
 
 
