@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tapeloom.functions import fix
 from tapeloom.operators import linked
@@ -176,54 +177,99 @@ def lines(states: DataFrame) -> DataFrame:
     return shown.withColumn("rendered", F.concat_ws("\n", F.lit("Order Summary:"), *parts, F.lit("")))
 
 
-class Fold(Keys):
-    """Keys with the state of each open order."""
+class _Overlay:
+    """A map of the state as one batch sees it: what it asks for is read once, what it changes is written once."""
 
-    def __init__(self, most_open: int | None = MOST_OPEN):
-        super().__init__(most_open)
-        self.states: dict[int, dict] = {}
-        self.rows = 0
+    def __init__(self, state):
+        self.state, self.seen, self.changed = state, {}, set()
 
-    def forget(self, key: str) -> None:
-        del self.states[self.orders[key]]
-        super().forget(key)
-
-    def state(self, row: dict) -> dict | None:
-        """The state after a message, or None if it has no id."""
-        ids = [i for i in (row[c] for c in IDS) if i is not None]
-        if not ids:
-            return None
-        self.rows += 1
-        key = next((self.alias[i] for i in ids if i in self.alias), ids[0])
-        state = self.states.setdefault(self.orders.get(key, self.rows), {"key": key, "events": 0, **dict.fromkeys(KEPT)})
-        state["events"] += 1
-        state["message"], state["terminal"] = row["message"], row["terminal"]
-        state.update({k: row[k] for k in KEPT if row[k] is not None})
-        self.accept(ids, row["terminal"], self.rows)
-        return dict(state)
+    def get(self, key):
+        if key not in self.seen:
+            self.seen[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+        return self.seen[key]
+
+    def put(self, key, value: tuple | None) -> None:
+        self.seen[key] = value
+        self.changed.add(key)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.seen[key] is not None:
+                self.state.updateValue((key,), self.seen[key])
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
 
 
-STATE_SCHEMA = "orders string"
+class StreamFold(StatefulProcessor):
+    """The open orders of a stream in the state store: each order under its key, the key of each id, orders by age.
+
+    A batch reads and writes the orders, ids and ages that its own messages touch, and no others.
+    """
+
+    def __init__(self, stream: str, order: list[str], most_open: int):
+        self.stream, self.order, self.most_open = stream, order, most_open
+
+    def init(self, handle) -> None:
+        self.open = handle.getMapState("orders", "key string", "age long, events long, ids array<string>, kept array<string>")
+        self.alias = handle.getMapState("alias", "id string", "key string")
+        self.ages = handle.getMapState("ages", "age long", "key string")
+        self.counts = handle.getValueState("counts", "eldest long, next long, open long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        opened, alias, ages = _Overlay(self.open), _Overlay(self.alias), _Overlay(self.ages)
+        eldest, following, n = self.counts.get() if self.counts.exists() else (0, 0, 0)
+
+        def forget(name: str) -> None:
+            nonlocal n
+            age, _, ids, _ = opened.get(name)
+            for i in ids:
+                if (own := alias.get(i)) and own[0] == name:
+                    alias.put(i, None)
+            opened.put(name, None)
+            ages.put(age, None)
+            n -= 1
+
+        out = []
+        batch = pd.concat(list(rows)).sort_values(self.order)
+        batch = batch.astype(object).where(batch.notna(), None)
+        for row in batch.to_dict("records"):
+            ids = [row[c] for c in IDS if row[c] is not None]
+            if not ids:
+                continue
+            name = next((own[0] for i in ids if (own := alias.get(i))), ids[0])
+            if (state := opened.get(name)) is None:
+                state = (following, 0, [], [None] * len(KEPT))
+                ages.put(following, (name,))
+                following, n = following + 1, n + 1
+            age, events, named, kept = state
+            kept = [row[c] if row[c] is not None else was for c, was in zip(KEPT, kept, strict=True)]
+            opened.put(name, (age, events + 1, [*named, *(i for i in dict.fromkeys(ids) if i not in named)], kept))
+            for i in ids:
+                alias.put(i, (name,))
+            out.append((key[0], name, events + 1, row["message"], *kept, row["terminal"]))
+            if row["terminal"]:
+                forget(name)
+            elif n > self.most_open:
+                while ages.get(eldest) is None:
+                    eldest += 1
+                forget(ages.get(eldest)[0])
+        for own in (opened, alias, ages):
+            own.flush()
+        self.counts.update((eldest, following, n))
+        yield pd.DataFrame(out, columns=[self.stream, *_STATE])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_summaries(messages: DataFrame, tables: Tables, stream: str = "file", order: list[str] = ("line_no", "msg_idx"), most_open: int = MOST_OPEN) -> DataFrame:
-    """summaries() of a streaming frame of messages, in append mode; the open orders of a stream are its state."""
-    import json
+    """summaries() of a streaming frame of messages, in append mode; the open orders of a stream are its state.
 
-    order = list(order)
-    rows = inputs(messages, tables, [stream], order)
-    ship(messages.sparkSession)
+    The state is kept in RocksDB, for which the session's provider of state stores is set.
+    """
+    spark = messages.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = inputs(messages, tables, [stream], list(order))
+    ship(spark)
     schema = f"{stream} string, key string, events long, message string, {', '.join(f'{k} string' for k in KEPT)}, terminal boolean"
-
-    def fold(key, batches, state):
-        own = Fold(most_open)
-        if state.exists:
-            own.orders, own.alias, ids, states, own.rows = json.loads(state.get[0])
-            own.ids, own.states = {k: set(v) for k, v in ids.items()}, {int(k): v for k, v in states.items()}
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = [s for r in rows.astype(object).where(rows.notna(), None).to_dict("records") if (s := own.state(r))]
-        state.update((json.dumps([own.orders, own.alias, {k: sorted(v) for k, v in own.ids.items()}, own.states, own.rows]),))
-        if out:
-            yield pd.DataFrame(out).assign(**{stream: key[0]})[[stream, *_STATE]]
-
-    return rows.groupBy(stream).applyInPandasWithState(fold, schema, STATE_SCHEMA, "append", "NoTimeout")
+    return rows.groupBy(stream).transformWithStateInPandas(StreamFold(stream, list(order), most_open), schema, "append", "none")

@@ -551,6 +551,22 @@ def stream_window_counts(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
+@query(f"{_R} SELECT k AS o_orderkey, raw FROM r")
+def follow_messages(spark, sf_dir):
+    """Reports written as log files, followed as a stream in several batches that cut lines anywhere, written by the stream and read back."""
+    from tapeloom.streaming import tail
+
+    path = scratch(spark, "follow")
+    _keyed(spark, sf_dir).select(F.concat(F.lit("note "), _raw(), F.lit(" end")).alias("value")).write.text(f"{path}/log")
+    found = tail.follow_messages(spark, f"{path}/log/*.txt", maxBytes=str(1 << 18)).select(fix.first_value("fields", 34).cast("long").alias("o_orderkey"), "raw")
+    job = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").start(f"{path}/out")
+    try:
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    return spark.read.parquet(f"{path}/out")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract, parse, choose the dictionary, validate and count: messages and errors by bucket, type and status."""
     tables = _tables(spark)

@@ -242,41 +242,6 @@ def test_arguments():
     assert arguments.merged(["x"], " -v ") == ["-v", "x"] and arguments.merged(["x"], " ") == ["x"]
 
 
-@pytest.mark.parametrize("most", [1, 2, 3, 7, 100])
-def test_following_lines_longer_than_a_read(tmp_path, most):
-    path = tmp_path / "a.log"
-    path.write_bytes(b"short\n" + b"x" * 50 + b"\r\n" + b"y" * 23 + b"\rlast\nopen")
-    reader, at, lines = tail.TailReader(str(path), most), {}, []
-    for _ in range(20):
-        rows, at = reader.read(at)
-        lines += [(r[2], r[3]) for r in rows]
-    want = ["short", "x" * 50, "y" * 23, "last"]
-    assert lines == list(enumerate(want, 1))
-    with path.open("ab") as f:
-        f.write(b" line" * 30 + b"\n")
-    rows, end = reader.read(at)
-    rows = list(rows)
-    assert [(r[2], r[3]) for r in rows] == [(5, "open" + " line" * 30)] and list(reader.readBetweenOffsets(at, end)) == rows
-
-
-def test_a_line_without_end_waits_within_a_bound(tmp_path):
-    """What exceeds the bound is given out under the line's number, cut at the last message start, and never within a character."""
-    path, at, got = tmp_path / "a.log", {}, []
-    reader = tail.TailReader(str(path), 1 << 10, 200)
-    steps = ["one\n" + "z" * 150, "é" * 60, "w" * 120 + "8=FIX.4.4" + "q" * 100, "r" * 20 + "\nlast\n", "é" * 300]
-    for step in steps:
-        with path.open("ab") as f:
-            f.write(step.encode())
-        for _ in range(3):
-            rows, end = reader.read(at)
-            rows = list(rows)
-            assert list(reader.readBetweenOffsets(at, end)) == rows
-            got += [(r[2], r[3]) for r in rows]
-            at = end
-    assert got[0] == (1, "one") and "".join(x for n, x in got if n == 2) == "z" * 150 + "é" * 60 + "w" * 120 + "8=FIX.4.4" + "q" * 100 + "r" * 20
-    assert [x for n, x in got if n == 2 and "8=FIX" in x] == ["8=FIX.4.4" + "q" * 100 + "r" * 20] and (3, "last") in got and "".join(x for n, x in got if n == 4) == "é" * 300
-
-
 @pytest.fixture
 def sessions():
     """Lines of two files in three batches; the second file negotiates a version in its first batch, the first in its second."""
@@ -348,7 +313,7 @@ def test_following_a_growing_file(spark, tmp_path):
         job.processAllAvailable()
         assert spark.table("followed").count() == 1
         with file.open("a") as f:
-            f.write(HEARTBEAT[30:] + "\n")
+            f.write(HEARTBEAT[30:])  # whole, though its line has not ended
         job.processAllAvailable()
         assert [(r.line_no, r.raw) for r in spark.table("followed").orderBy("line_no").collect()] == [(1, HEARTBEAT), (2, HEARTBEAT)]
     finally:

@@ -106,3 +106,34 @@ def test_components(spark, monkeypatch, most, hub):
     df = spark.createDataFrame(rows, "a long, b long, c long").repartition(5)
     assert {r.node: r.root for r in linked.components(df, most).collect()} == want
     assert linked.components(spark.createDataFrame([], "a long, b long"), most).isEmpty()
+
+
+def test_stream_state_over_batches_and_a_restart(spark, tables, tmp_path):  # noqa: F811
+    """Random streams in batches of lines, with eviction, stopped in the middle and started again from the checkpoint."""
+    from tapeloom.operators import messages
+
+    rows, source, out = drawn(random.Random(41), 240, 40, ending=0.05), tmp_path / "in", str(tmp_path / "out")
+    schema = "file string, file_ordinal int, line_no long, line string"
+
+    def put(part):
+        lines = [(f, 0, n, enc("".join(f"{t}={v}|" for t, v in m.items()))) for f, n, m in part]
+        spark.createDataFrame(lines, schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        own = messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(FIX44_ID))
+        told = orders.stream_summaries(own, tables, most_open=6)
+        job = told.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out)
+        job.awaitTermination()
+        return job.recentProgress
+
+    put(rows[:100])
+    run()
+    put(rows[100:170])
+    progress = run()
+    put(rows[170:])
+    run()
+    got = sorted((r.file, r.key, r.events, r.order_id or "", r.symbol or "", r.last_quantity or "", r.terminal) for r in spark.read.parquet(out).collect())
+    want = sorted((f, key, n, a or "", s or "", q or "", ends) for f, _, key, n, a, _, _, s, q, ends in plain(rows, 6))
+    assert got == want
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] < 2 * (6 * 5 + 3) + 40  # what is open in two streams, not what was
