@@ -26,7 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from tapeloom.functions import fix
 from tapeloom.operators import linked
 from tapeloom.operators.dictionary import Tables
-from tapeloom.session import cut, scratch, ship
+from tapeloom.operators.overlay import Overlay
+from tapeloom.session import cut, scratch, ship, with_map_state
 
 #: Ids in order of precedence, what is kept of a message by tag, statuses that end an order.
 ID_TAGS = (37, 11, 41)
@@ -177,29 +178,6 @@ def lines(states: DataFrame) -> DataFrame:
     return shown.withColumn("rendered", F.concat_ws("\n", F.lit("Order Summary:"), *parts, F.lit("")))
 
 
-class _Overlay:
-    """A map of the state as one batch sees it: what it asks for is read once, what it changes is written once."""
-
-    def __init__(self, state):
-        self.state, self.seen, self.changed = state, {}, set()
-
-    def get(self, key):
-        if key not in self.seen:
-            self.seen[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
-        return self.seen[key]
-
-    def put(self, key, value: tuple | None) -> None:
-        self.seen[key] = value
-        self.changed.add(key)
-
-    def flush(self) -> None:
-        for key in self.changed:
-            if self.seen[key] is not None:
-                self.state.updateValue((key,), self.seen[key])
-            elif self.state.containsKey((key,)):
-                self.state.removeKey((key,))
-
-
 class StreamFold(StatefulProcessor):
     """The open orders of a stream in the state store: each order under its key, the key of each id, orders by age.
 
@@ -216,17 +194,17 @@ class StreamFold(StatefulProcessor):
         self.counts = handle.getValueState("counts", "eldest long, next long, open long")
 
     def handleInputRows(self, key, rows, timerValues):
-        opened, alias, ages = _Overlay(self.open), _Overlay(self.alias), _Overlay(self.ages)
+        opened, alias, ages = Overlay(self.open), Overlay(self.alias), Overlay(self.ages)
         eldest, following, n = self.counts.get() if self.counts.exists() else (0, 0, 0)
 
         def forget(name: str) -> None:
             nonlocal n
-            age, _, ids, _ = opened.get(name)
+            age, _, ids, _ = opened.get((name,))
             for i in ids:
-                if (own := alias.get(i)) and own[0] == name:
-                    alias.put(i, None)
-            opened.put(name, None)
-            ages.put(age, None)
+                if (own := alias.get((i,))) and own[0] == name:
+                    alias.put((i,), None)
+            opened.put((name,), None)
+            ages.put((age,), None)
             n -= 1
 
         out = []
@@ -236,23 +214,23 @@ class StreamFold(StatefulProcessor):
             ids = [row[c] for c in IDS if row[c] is not None]
             if not ids:
                 continue
-            name = next((own[0] for i in ids if (own := alias.get(i))), ids[0])
-            if (state := opened.get(name)) is None:
+            name = next((own[0] for i in ids if (own := alias.get((i,)))), ids[0])
+            if (state := opened.get((name,))) is None:
                 state = (following, 0, [], [None] * len(KEPT))
-                ages.put(following, (name,))
+                ages.put((following,), (name,))
                 following, n = following + 1, n + 1
             age, events, named, kept = state
             kept = [row[c] if row[c] is not None else was for c, was in zip(KEPT, kept, strict=True)]
-            opened.put(name, (age, events + 1, [*named, *(i for i in dict.fromkeys(ids) if i not in named)], kept))
+            opened.put((name,), (age, events + 1, [*named, *(i for i in dict.fromkeys(ids) if i not in named)], kept))
             for i in ids:
-                alias.put(i, (name,))
+                alias.put((i,), (name,))
             out.append((key[0], name, events + 1, row["message"], *kept, row["terminal"]))
             if row["terminal"]:
                 forget(name)
             elif n > self.most_open:
-                while ages.get(eldest) is None:
+                while ages.get((eldest,)) is None:
                     eldest += 1
-                forget(ages.get(eldest)[0])
+                forget(ages.get((eldest,))[0])
         for own in (opened, alias, ages):
             own.flush()
         self.counts.update((eldest, following, n))
@@ -268,7 +246,7 @@ def stream_summaries(messages: DataFrame, tables: Tables, stream: str = "file",
     The state is kept in RocksDB, for which the session's provider of state stores is set.
     """
     spark = messages.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    with_map_state(spark)
     rows = inputs(messages, tables, [stream], list(order))
     ship(spark)
     schema = f"{stream} string, key string, events long, message string, {', '.join(f'{k} string' for k in KEPT)}, terminal boolean"

@@ -56,3 +56,8 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where the files give fewer partitions than there are; a larger input is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_map_state(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, which map states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -1,31 +1,30 @@
 """Streams of lines whose meaning depends on what came before: the negotiated dictionary of a session, and given aliases.
 
-Each micro-batch runs the same operators as a batch job. What it leaves for the next one is written under the batch's
-number in a shared folder before the batch's rows are given out; a batch that is run again reads what batches before it
-left and writes the same once more.
+Each micro-batch runs the same operators as a batch job. What a stream has negotiated is a row: a batch writes the rows of
+all streams under its number in a shared folder before its messages are given out, reads those of the batch before it, and
+drops older ones. Aliases are a map in the state store; a batch asks it for the values in its own lines. So the cost of a
+batch does not depend on how many came before. A batch that is run again does the same once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from tapeloom.functions import fix
 from tapeloom.operators import messages, obfuscate, session
 from tapeloom.operators.dictionary import Tables
+from tapeloom.operators.overlay import Overlay
+from tapeloom.session import ship, with_map_state
+from tapeloom.sources.ranges import filesystem
 
 Write = Callable[[DataFrame, int], None]
 
 
-def _before(batch: DataFrame, folder: str, number: int, schema: str) -> DataFrame:
-    """What batches before this one left, with the number of theirs as batch. The folder has one part a batch."""
-    batch.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/batch=-1")
-    return batch.sparkSession.read.schema(f"{schema}, batch long").parquet(folder).where(F.col("batch") < number)
-
-
 def choose(lines: DataFrame, tables: Tables, fallback: str, folder: str, write: Write, delim: str = fix.SOH, stream: str = "file") -> DataStreamWriter:
     """Messages of a stream of lines, parsed and with dict_id: session.choose() with versions carried from batch to batch.
 
@@ -33,27 +32,69 @@ def choose(lines: DataFrame, tables: Tables, fallback: str, folder: str, write:
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        left = _before(batch, folder, number, f"{stream} string, carried string")
-        carried = left.groupBy(stream).agg(F.max_by("carried", "batch").alias("carried"))
-        own = session.choose(messages.parse(messages.extract(batch, delim)), tables, fallback, [stream], carried=carried)
-        last = own.where("negotiated IS NOT NULL").groupBy(stream).agg(F.max_by("negotiated", F.struct("line_no", "msg_idx")).alias("carried"))
-        last.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        schema = f"{stream} string, carried string"
+        spark = batch.sparkSession
+        before = spark.read.schema(schema).parquet(f"{folder}/batch={number - 1}") if number else spark.createDataFrame([], schema)
+        own = session.choose(messages.parse(messages.extract(batch, delim)), tables, fallback, [stream], carried=before)
+        last = own.where("negotiated IS NOT NULL").groupBy(stream).agg(F.max_by("negotiated", F.struct("line_no", "msg_idx")).alias("now"))
+        after = before.join(last, stream, "full").select(stream, F.coalesce("now", "carried").alias("carried"))
+        after.write.mode("overwrite").parquet(f"{folder}/batch={number}")
         write(own, number)
+        if number > 1:
+            fs, path = filesystem(f"{folder}/batch={number - 2}")
+            if fs.get_file_info(path).type.name == "Directory":
+                fs.delete_dir(path)
 
     return lines.writeStream.foreachBatch(run)
 
 
-def hide(lines: DataFrame, tables: Tables, folder: str, write: Write, delim: str = fix.SOH, by: str = "file") -> DataStreamWriter:
+class Ranks(StatefulProcessor):
+    """The rank of each sensitive value among its tag's values by first appearance, in the state store by (tag, value)."""
+
+    def __init__(self, by: str, order: list[str], text: str):
+        self.by, self.order, self.text = by, order, text
+
+    def init(self, handle) -> None:
+        self.ranks = handle.getMapState("ranks", "tag int, value string", "n long")
+        self.counts = handle.getMapState("counts", "tag int", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        ranks, counts = Overlay(self.ranks), Overlay(self.counts)
+        batch, out = pd.concat(list(rows)).sort_values(self.order, kind="stable"), []
+        for tags, values in zip(batch["tags"], batch["values"], strict=True):
+            own = []
+            for tag, value in zip(tags, values, strict=True):
+                name = (int(tag), value)
+                if (rank := ranks.get(name)) is None:
+                    rank = ((counts.get(name[:1]) or (0,))[0] + 1,)
+                    counts.put(name[:1], rank)
+                    ranks.put(name, rank)
+                own.append(rank[0])
+            out.append(own)
+        ranks.flush()
+        counts.flush()
+        yield pd.DataFrame({self.by: key[0], **{c: batch[c] for c in (*self.order, self.text)}, "ranks": out})
+
+    def close(self) -> None:
+        pass
+
+
+def hide(lines: DataFrame, tables: Tables, write: Write, delim: str = fix.SOH, by: str = "file", line_no: str = "line_no", text: str = "line") -> DataStreamWriter:
     """The lines of a stream with sensitive values hidden: obfuscate.lines() with aliases that stay what they are from batch to batch.
 
-    write gets each batch's lines and number. Start the writer that is returned.
+    write gets each batch's lines and number. Start the writer that is returned. The state is kept in RocksDB.
     """
+    ship(lines.sparkSession)
+    with_map_state(lines.sparkSession)
+    found = F.when(F.contains(text, F.lit(fix.BEGIN)), obfuscate.within(text, tables, delim))
+    none = F.array().cast("array<int>")
+    told = lines.select(by, line_no, text, F.coalesce(F.transform(found, lambda x: x["tag"]), none).alias("tags"), F.coalesce(F.transform(found, lambda x: x["value"]), F.array().cast("array<string>")).alias("values"))
+    schema = f"{by} string, {line_no} long, {text} string, ranks array<long>"
+    ranked = told.groupBy(by).transformWithStateInPandas(Ranks(by, [line_no], text), schema, "append", "none")
 
     def run(batch: DataFrame, number: int) -> None:
-        known = _before(batch, folder, number, f"{by} string, tag int, value string, alias string").drop("batch")
-        new = obfuscate.aliases(obfuscate.values(batch, tables, delim), ["line_no", "seq", "at"], [by], known=known)
-        new.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        every = known.unionByName(batch.sparkSession.read.parquet(f"{folder}/batch={number}"))
-        write(obfuscate.lines(batch, tables, delim, by=[by], named=every), number)
+        alias = lambda x, n: F.concat(x["tag"].cast("string"), F.lit("="), x["prefix"], fix.digits(n, 4))
+        new = F.zip_with(obfuscate.within(text, tables, delim), "ranks", lambda x, n: F.struct(x["seq"].alias("seq"), x["at"].alias("at"), alias(x, n).alias("p")))
+        write(obfuscate.rewritten(batch.withColumn("new", F.when(F.size("ranks") > 0, new)), delim, [by, line_no], text), number)
 
-    return lines.writeStream.foreachBatch(run)
+    return ranked.writeStream.foreachBatch(run)

@@ -276,6 +276,7 @@ def test_a_stream_keeps_the_negotiated_version(spark, tables, tmp_path, sessions
     key = lambda rows: sorted((r.file, r.line_no, r.dict_id, str(r.negotiated)) for r in rows)
     assert key(got) == key(want)
     assert len({r.dict_id for r in got}) > 1
+    assert sorted(p.name for p in (tmp_path / "left").iterdir()) == ["batch=1", "batch=2"]  # not every batch's
 
 
 @pytest.mark.parametrize(("block", "most"), [(1, 100), (2, 100), (3, 0), (1 << 16, 100)])
@@ -297,7 +298,7 @@ def test_versions_are_negotiated_by_blocks(spark, tables, monkeypatch, block, mo
 
 
 def test_a_stream_keeps_its_aliases(spark, tables, tmp_path, sessions):
-    got = _in_batches(spark, tmp_path, sessions, lambda lines, write: carried.hide(lines, tables, str(tmp_path / "left"), write))
+    got = _in_batches(spark, tmp_path, sessions, lambda lines, write: carried.hide(lines, tables, write))
     every = spark.createDataFrame([r for step in sessions for r in step], tail.SCHEMA)
     want = obfuscate.lines(every, tables).collect()
     assert sorted((r.file, r.line_no, r.line) for r in got) == sorted((r.file, r.line_no, r.line) for r in want)
