@@ -95,15 +95,22 @@ def units(text: Column | str) -> Column:
     return (F.octet_length(F.encode(_c(text), "UTF-16BE")) / 2).cast("int")
 
 
-def _char_sums():
-    """The sums of the characters of a batch of texts, by one pass over the bytes; made here so that it travels with the plan."""
+def _char_sums(nested: bool = False):
+    """The sums of the characters of a batch of texts, or arrays of them, by one pass over the bytes; made here so that it travels with the plan."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def sums(text):
+        if nested:  # an array of texts a row
+            own = sums.flat(text.flatten())
+            places = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(text), 0).to_numpy())]).astype(np.int32))
+            return pa.ListArray.from_arrays(places, own, mask=text.is_null())
+        return sums.flat(text)
+
+    def flat(text):
         _, places, raw = text.buffers()
-        at = np.frombuffer(places, np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        at = np.frombuffer(places, np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
         raw = np.frombuffer(raw or b"", np.uint8)[at[0] : at[-1]]
         upto = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
         out = upto[at[1:] - at[0]] - upto[at[:-1] - at[0]]
@@ -112,8 +119,9 @@ def _char_sums():
                 out[i] = sum(map(ord, text[i].as_py()))
         return pa.array(out.astype(np.int32), mask=text.is_null().to_numpy(zero_copy_only=False))
 
+    sums.flat = flat
     sums.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(sums, "int").asNondeterministic()  # else a filter on a text made with it is pushed down and makes it twice
+    return F.arrow_udf(sums, "array<int>" if nested else "int").asNondeterministic()  # else a filter on a text made with it is pushed down and makes it twice
 
 
 def char_sum(text: Column | str) -> Column:
@@ -121,6 +129,11 @@ def char_sum(text: Column | str) -> Column:
     return _char_sums()(_c(text))
 
 
+def char_sums(texts: Column | str) -> Column:
+    """char_sum() of each text of an array."""
+    return _char_sums(nested=True)(_c(texts))
+
+
 def digits(number: Column | str, n: int) -> Column:
     """n decimal digits of a number, by its floor modulus."""
     return F.lpad(F.pmod(_c(number), F.lit(10**n)).cast("string"), n, "0")
