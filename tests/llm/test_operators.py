@@ -315,7 +315,7 @@ def test_maxent(docs, none):
     assert all(r.n_known == 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in maxent.score(docs, maxent.fit(docs, nothing), nothing).collect())
 
 
-def _plain_scores(v, rows, weight, copies):
+def _plain_scores(v, rows, weight):
     """The same model with one dictionary a feature and one pair at a time, hash collisions of its tables included."""
     paths = []
     for t in rows[0]:
@@ -323,12 +323,11 @@ def _plain_scores(v, rows, weight, copies):
         paths.append([[int(h), bool(s), float(b)] for h, s, b in zip(node, second, bias, strict=True)])
     every = maxent.features(rows[1:])
     for feature, prior in zip(every, maxent.PRIOR, strict=True):
-        seen, there = Counter(), Counter()
-        for f, w, c in zip(feature.tolist(), weight, copies, strict=True):
+        seen = Counter()
+        for f, w in zip(feature.tolist(), weight, strict=True):
             seen[f >> 16] += w
-            there[f >> 16] += c
-        used = [i for i, f in enumerate(feature.tolist()) if seen[f >> 16] > 0 and there[f >> 16] > 1]
-        bits = maxent.table_bits(sum(len(paths[i]) for i in used))
+        used = [i for i, f in enumerate(feature.tolist()) if seen[f >> 16] > 0]
+        bits = maxent.table_bits(sum(len(paths[i]) for i in used if weight[i]))
         place = lambda f, h: ((f ^ h) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)  # noqa: E731, B023
         up, down = Counter(), Counter()
         for i in used:
@@ -355,11 +354,18 @@ def _small_model(seed: int = 4):
 def test_maxent_learns_what_plain_sums_give():
     v, _, rows = _small_model()
     rng = np.random.default_rng(8)
-    weight, extra = rng.integers(0, 3, rows.shape[1]), rng.integers(0, 2, rows.shape[1])
-    copies = np.maximum(weight + extra, 1)
+    weight = rng.integers(0, 3, rows.shape[1])
     for scale in (1, 100_000):  # beyond 2^17 tokens the sums are taken apart
-        got = maxent.learn_and_score(v, rows, weight * scale, copies * scale)
-        assert got == pytest.approx(_plain_scores(v, rows, (weight * scale).tolist(), (copies * scale).tolist()), rel=0.01, abs=0.02)
+        got = maxent.learn_and_score(v, rows, weight * scale)
+        assert got == pytest.approx(_plain_scores(v, rows, (weight * scale).tolist()), rel=0.01, abs=0.02)
+
+
+def test_maxent_features_do_not_follow_rows_that_are_only_scored():
+    v, _, rows = _small_model()
+    weight = np.random.default_rng(9).integers(0, 2, rows.shape[1])
+    learned = weight > 0
+    every, alone = maxent.learn_and_score(v, rows, weight), maxent.learn_and_score(v, rows[:, learned], weight[learned])
+    assert every[learned] == pytest.approx(alone, rel=0.02, abs=0.03)  # but for ends of paths with one weight
 
 
 def test_maxent_is_a_distribution():
@@ -370,7 +376,7 @@ def test_maxent_is_a_distribution():
         asked = np.vstack([leaves, *(np.full(len(leaves), c, np.uint32) for c in context)])
         own = np.concatenate([rows, asked], axis=1)
         weight = np.concatenate([np.ones(rows.shape[1]), np.zeros(len(leaves))])
-        got = maxent.learn_and_score(v, own, weight, np.ones(own.shape[1]))[rows.shape[1] :]
+        got = maxent.learn_and_score(v, own, weight)[rows.shape[1] :]
         assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -392,7 +398,7 @@ def test_maxent_learns_where_every_context_is_met_again():
     v, pool, _ = _small_model()
     rows = np.vstack([pool[:12], *np.repeat(pool[[3, 1, 2], None], 12, axis=1)])
     weight = np.arange(12) + 1
-    assert maxent.learn_and_score(v, rows, weight, weight) == pytest.approx(_plain_scores(v, rows, weight.tolist(), weight.tolist()), rel=0.01, abs=0.02)
+    assert maxent.learn_and_score(v, rows, weight) == pytest.approx(_plain_scores(v, rows, weight.tolist()), rel=0.01, abs=0.02)
 
 
 def test_maxent_totals_stand_for_tokens_elsewhere(monkeypatch):
@@ -403,7 +409,7 @@ def test_maxent_totals_stand_for_tokens_elsewhere(monkeypatch):
     rows = np.unique(np.vstack([rng.integers(0, 12, (1, 900)), rng.integers(0, 3, (3, 900))]), axis=1).astype(np.uint32)
     weight = rng.integers(0, 4, rows.shape[1])
     copies = weight + 1
-    whole = maxent.learn_and_score(v, rows, weight, copies)
+    whole = maxent.learn_and_score(v, rows, weight)
     for length in (1, 2, 3):
         part = rng.integers(0, 3, rows.shape[1]) if length == 3 else rows[length + 1]  # by the next word, three by chance
         totals = []
@@ -413,7 +419,7 @@ def test_maxent_totals_stand_for_tokens_elsewhere(monkeypatch):
                 totals.append((context, np.arange(12), *(np.bincount(rows[0, mine], weights=x[mine], minlength=12) for x in (weight, copies))))
         for k in range(3):
             some = part == k
-            assert maxent.learn_and_score(v, rows[:, some], weight[some], copies[some], totals) == pytest.approx(whole[some], rel=2e-3)
+            assert maxent.learn_and_score(v, rows[:, some], weight[some], totals) == pytest.approx(whole[some], rel=2e-3)
 
 
 def test_maxent_totals_of_many_targets_take_little_memory():
@@ -425,7 +431,7 @@ def test_maxent_totals_of_many_targets_take_little_memory():
     rows = np.vstack([targets[:500], np.full(500, 5), rng.integers(0, 9, (2, 500))]).astype(np.uint32)
     tracemalloc.start()
     try:
-        maxent.learn_and_score(v, rows, np.ones(500), np.ones(500), [(np.array([5], np.uint32), targets, learned, learned + 1)])
+        maxent.learn_and_score(v, rows, np.ones(500), [(np.array([5], np.uint32), targets, learned, learned + 1)])
         assert tracemalloc.get_traced_memory()[1] < 120_000_000
     finally:
         tracemalloc.stop()
@@ -455,11 +461,10 @@ def test_maxent_leaves_out_steps_that_nothing_else_takes(monkeypatch):
     pool = np.array([*range(21), *rng.integers(1 << 31, 1 << 32, 60)], np.uint32)
     rows = np.unique(np.vstack([rng.choice(pool, 900), rng.integers(0, 5, (3, 900)) * rng.integers(1, 3, (3, 900))]).astype(np.uint32), axis=1)
     weight = rng.integers(0, 3, rows.shape[1])
-    copies = np.maximum(weight, 1)
-    got, steps = maxent.learn_and_score(v, rows, weight, copies), 0
+    got, steps = maxent.learn_and_score(v, rows, weight), 0
     paths = [[[int(h), bool(s), float(b)] for h, s, b in zip(*v.expand(rows[0, i : i + 1])[1:], strict=True)] for i in range(rows.shape[1])]
     for feature, prior in zip(maxent.features(rows[1:]), maxent.PRIOR, strict=True):
-        used = [i for i, f in enumerate(feature) if weight[feature == f].sum() > 0 and copies[feature == f].sum() > 1]
+        used = [i for i, f in enumerate(feature) if weight[feature == f].sum() > 0]
         up, down = Counter(), Counter()
         for i in used:
             steps += len(paths[i])
@@ -481,7 +486,7 @@ def test_maxent_learns_totals_apart_from_the_shards(monkeypatch):
     targets = np.unique(rng.integers(1 << 31, 1 << 32, 50_000).astype(np.uint32))
     rows = np.vstack([targets[:500], np.full(500, 5), rng.integers(0, 9, (2, 500))]).astype(np.uint32)
     learned = rng.integers(0, 9, len(targets))
-    maxent.learn_and_score(v, rows, np.ones(500), np.ones(500), [(np.array([5], np.uint32), targets, learned, learned + 1)])
+    maxent.learn_and_score(v, rows, np.ones(500), [(np.array([5], np.uint32), targets, learned, learned + 1)])
     assert sum(asked) < 3 * v.expand(rows[0])[0].sum()
 
 
