@@ -5,8 +5,11 @@ The text is built alike in both engines: from whole numbers, codes and formatted
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tapeloom.functions import fix
 from tapeloom.operators import counts, decode, dictionary, explore, messages, obfuscate, orders, session, validate
@@ -424,6 +427,29 @@ def obfuscate_delimited(spark, sf_dir):
     return obfuscate.lines(lines, _tables(spark), "|").select("line_no", "line")
 
 
+@query(ORACLES["obfuscate_lines"])
+def hide_files(spark, sf_dir):
+    """Log files written by file, hidden as ranges of bytes that cut messages anywhere, and read back."""
+    path = scratch(spark, "hide")
+    lines = _lines(_keyed(spark, sf_dir), F.concat(F.lit("INFO "), _raw(), F.lit(" tail"))).repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("file", F.col("line").alias("value")).write.partitionBy("file").text(f"{path}/log")
+    obfuscate.files(spark, [f"{path}/log/*/*.txt"], _tables(spark), size=1 << 16)
+    hidden = spark.read.text(f"{path}/log/*/*.secret.txt")
+    return hidden.select(F.regexp_extract("value", f"{SOH}34=([0-9]+){SOH}", 1).cast("long").alias("line_no"), F.col("value").alias("line"))
+
+
+@query(ORACLES["obfuscate_lines"])
+def hide_stream(spark, sf_dir):
+    """The lines as a stream in three batches, with aliases in the state store."""
+    from tapeloom.streaming import carried
+
+    path = scratch(spark, "hide-stream")
+    lines = _lines(_keyed(spark, sf_dir), F.concat(F.lit("INFO "), _raw(), F.lit(" tail")))
+    write = lambda rows, number: rows.select("line_no", "line").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    _in_batches(lines, path, lambda stream: carried.hide(stream, _tables(spark), write))
+    return spark.read.parquet(f"{path}/out").select("line_no", "line")
+
+
 # --- orders --------------------------------------------------------------------------------------------------------------
 
 
@@ -472,21 +498,49 @@ def order_alias_chain(spark, sf_dir):
     return found.select(F.floor(F.col("line_no") / 10).cast("long").alias("order_key"), "key", "events")
 
 
-@query("""WITH r AS (SELECT o_orderkey // 4 AS r, concat('f', o_orderkey % 4) AS file, o_orderkey AS k, (SELECT max(o_orderkey) // 4 FROM orders) AS last FROM orders)
+_BOUND = """WITH r AS (SELECT o_orderkey // 4 AS r, concat('f', o_orderkey % 4) AS file, o_orderkey AS k, (SELECT max(o_orderkey) // 4 FROM orders) AS last FROM orders)
 SELECT file, r * 10 AS line_no, concat('C', k) AS key, CAST(1 AS BIGINT) AS events FROM r UNION ALL
-SELECT file, CASE WHEN r % 2 = 0 THEN r * 10 + 105 ELSE r * 10 + 1005 END, concat(CASE WHEN r % 2 = 0 THEN 'C' ELSE 'O' END, k), CASE WHEN r % 2 = 0 THEN 2 ELSE 1 END FROM r WHERE r + 101 < last""")
-def order_bound(spark, sf_dir):
-    """At most 50 open orders a stream: a fill after ten more orders finds its order, one after a hundred starts another under its OrderID."""
+SELECT file, CASE WHEN r % 2 = 0 THEN r * 10 + 105 ELSE r * 10 + 1005 END, concat(CASE WHEN r % 2 = 0 THEN 'C' ELSE 'O' END, k), CASE WHEN r % 2 = 0 THEN 2 ELSE 1 END FROM r WHERE r + 101 < last"""
+
+
+def _bounded(spark, sf_dir) -> DataFrame:
     own = _keyed(spark, sf_dir).withColumn("r", F.expr("k div 4"))
     own = own.crossJoin(F.broadcast(own.agg(F.max("r").alias("last"))))  # one row
     new = F.struct((F.col("r") * 10).alias("line_no"), fix.encode("FIX.4.4", F.expr(f"concat('35=D{SOH}11=C', k, '{SOH}')")).alias("line"))
     fill = F.struct(F.expr("r * 10 + if(r % 2 = 0, 105, 1005)").alias("line_no"), fix.encode("FIX.4.4", F.expr(f"concat('35=8{SOH}37=O', k, '{SOH}11=C', k, '{SOH}39=1{SOH}')")).alias("line"))
     steps = F.when(F.expr("r + 101 < last"), F.array(new, fill)).otherwise(F.array(new))
-    lines = own.select(F.concat(F.lit("f"), (F.col("k") % 4).cast("string")).alias("file"), F.explode(steps).alias("x")).select("file", F.lit(0).alias("file_ordinal"), "x.*")
-    found = orders.summaries(messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(_FIX44)), _tables(spark), most_open=50)
+    return own.select(F.concat(F.lit("f"), (F.col("k") % 4).cast("string")).alias("file"), F.explode(steps).alias("x")).select("file", F.lit(0).alias("file_ordinal"), "x.*")
+
+
+def _in_batches(lines: DataFrame, path: str, writer: Callable[[DataFrame], DataStreamWriter], parts: int = 3) -> None:
+    """Runs a stream over the lines in so many batches, by line numbers; between them it is stopped and goes on from its checkpoint."""
+    last = lines.agg(F.max("line_no")).first()[0] or 0
+    for i in range(parts):
+        lines.where(F.expr(f"line_no * {parts} div {last + 1} = {i}")).write.mode("append").parquet(f"{path}/in")
+        stream = lines.sparkSession.readStream.schema(lines.schema).parquet(f"{path}/in")
+        writer(stream).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(_BOUND)
+def order_bound(spark, sf_dir):
+    """At most 50 open orders a stream: a fill after ten more orders finds its order, one after a hundred starts another under its OrderID."""
+    found = orders.summaries(messages.parse(messages.extract(_bounded(spark, sf_dir))).withColumn("dict_id", F.lit(_FIX44)), _tables(spark), most_open=50)
     return found.select("file", "line_no", "key", "events")
 
 
+@query(f"SELECT file, key, events FROM ({_BOUND})")
+def order_stream(spark, sf_dir):
+    """The same as a stream in three batches, with open orders in the state store."""
+    path = scratch(spark, "order-stream")
+
+    def told(lines: DataFrame) -> DataStreamWriter:
+        found = orders.stream_summaries(messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(_FIX44)), _tables(spark), most_open=50)
+        return found.select("file", "key", "events").writeStream.format("parquet").option("path", f"{path}/out")
+
+    _in_batches(_bounded(spark, sf_dir), path, told)
+    return spark.read.parquet(f"{path}/out")
+
+
 # --- dictionaries ----------------------------------------------------------------------------------------------------------
 
 
