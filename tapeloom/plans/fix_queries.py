@@ -290,15 +290,18 @@ def error_lines(spark, sf_dir):
     return decode.line_prefixes(validate.errors(_mutants(spark, sf_dir), _tables(spark))).select("line_no", "rendered")
 
 
-_NAMES = "(VALUES (35, 'MsgType', 'STRING'), (39, 'OrdStatus', 'CHAR'), (54, 'Side', 'CHAR'), (150, 'ExecType', 'CHAR'), (55, 'Symbol', 'STRING')) AS n(tag, name, type)"
+_NAMES = """(VALUES (8, 'BeginString', 'STRING'), (9, 'BodyLength', 'LENGTH'), (35, 'MsgType', 'STRING'), (49, 'SenderCompID', 'STRING'), (56, 'TargetCompID', 'STRING'), (34, 'MsgSeqNum', 'SEQNUM'), (52, 'SendingTime', 'UTCTIMESTAMP'),
+  (37, 'OrderID', 'STRING'), (11, 'ClOrdID', 'STRING'), (17, 'ExecID', 'STRING'), (150, 'ExecType', 'CHAR'), (39, 'OrdStatus', 'CHAR'), (55, 'Symbol', 'STRING'), (54, 'Side', 'CHAR'), (38, 'OrderQty', 'QTY'), (44, 'Price', 'PRICE'),
+  (151, 'LeavesQty', 'QTY'), (14, 'CumQty', 'QTY'), (6, 'AvgPx', 'PRICE'), (10, 'CheckSum', 'STRING')) AS n(tag, name, type)"""
 _ENUMS = "(VALUES (35, '8', 'EXECUTION_REPORT'), (39, '0', 'NEW'), (39, '1', 'PARTIALLY_FILLED'), (39, '2', 'FILLED'), (54, '1', 'BUY'), (54, '2', 'SELL'), (150, '0', 'NEW'), (150, 'F', 'TRADE')) AS d(tag, value, description)"
-_SPLIT = f"""{_R}, p AS (SELECT k, unnest(string_split(rtrim(raw, chr(1)), chr(1))) AS f FROM r), v AS (SELECT k, CAST(split_part(f, '=', 1) AS INT) AS tag, split_part(f, '=', 2) AS value FROM p)"""
+_SPLIT = f"""{_R}, l AS (SELECT k, string_split(rtrim(raw, chr(1)), chr(1)) AS fs FROM r), p AS (SELECT k, generate_subscripts(fs, 1) - 1 AS pos, unnest(fs) AS f FROM l),
+v AS (SELECT k, pos, CAST(split_part(f, '=', 1) AS INT) AS tag, split_part(f, '=', 2) AS value FROM p)"""
 
 
-@query(f"{_SPLIT} SELECT k AS line_no, tag, name, type, value, description FROM v JOIN {_NAMES} USING (tag) LEFT JOIN {_ENUMS} USING (tag, value)")
+@query(f"{_SPLIT} SELECT k AS line_no, CAST(pos AS INTEGER) AS field_idx, tag, coalesce(name, CAST(tag AS VARCHAR)) AS name, type, value, description FROM v LEFT JOIN {_NAMES} USING (tag) LEFT JOIN {_ENUMS} USING (tag, value)")
 def decode_fields(spark, sf_dir):
     own = session.choose(_reports(spark, sf_dir), _tables(spark), _FIX44)
-    return decode.fields(own, _tables(spark)).where(F.col("tag").isin(35, 39, 54, 150, 55)).select("line_no", "tag", "name", "type", "value", "description")
+    return decode.fields(own, _tables(spark)).select("line_no", "field_idx", "tag", "name", "type", "value", "description")
 
 
 @query(f"{_SPLIT} SELECT tag, value, description, CAST(count(*) AS BIGINT) AS n FROM v JOIN {_ENUMS} USING (tag, value) GROUP BY ALL")
@@ -307,11 +310,13 @@ def enum_decode(spark, sf_dir):
     return decode.fields(own, _tables(spark)).where("description IS NOT NULL").groupBy("tag", "value", "description").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_SPLIT}, x AS (SELECT k, concat(lpad(CAST(tag AS VARCHAR), 6, ' '), ' (', name, '): ', value, CASE WHEN description IS NULL THEN '' ELSE concat(' (', description, ')') END) AS rendered FROM v JOIN {_NAMES} USING (tag) LEFT JOIN {_ENUMS} USING (tag, value))
-SELECT k AS line_no, rendered FROM x""")
+@query(f"""{_SPLIT}, x AS (SELECT k, pos, concat(lpad(CAST(tag AS VARCHAR), 6, ' '), ' (', coalesce(name, CAST(tag AS VARCHAR)), '): ', value, CASE WHEN description IS NULL THEN '' ELSE concat(' (', description, ')') END) AS rendered
+  FROM v LEFT JOIN {_NAMES} USING (tag) LEFT JOIN {_ENUMS} USING (tag, value))
+SELECT k AS line_no, CAST(pos AS BIGINT) AS place, rendered FROM x UNION ALL SELECT k, -2, raw FROM r UNION ALL SELECT k, -1, '' FROM r UNION ALL SELECT k, {1 << 62}, '' FROM r""")
 def decode_lines(spark, sf_dir):
+    """Every line of every message: its text, an empty line, all fields, an empty line."""
     own = session.choose(_reports(spark, sf_dir), _tables(spark), _FIX44)
-    return decode.lines(own, _tables(spark)).where(F.col("rendered").rlike(r"^ *(35|39|54|150|55) \(")).select("line_no", "rendered")
+    return decode.lines(own, _tables(spark)).select("line_no", F.col("at").alias("place"), "rendered")
 
 
 @query(f"""{_ERRORS} SELECT k AS line_no, concat(lpad(CAST(tag AS VARCHAR), 6, ' '), CASE tag WHEN 49 THEN ' (SenderCompID): ' ELSE '' END, error) AS rendered FROM e WHERE tag = 49""")
