@@ -366,3 +366,14 @@ def test_query_against_sql(spark, duck, name):
     names = sorted(got.columns)
     places = [[d[0] for d in want.description].index(n) for n in names]
     assert sorted(str([r[n] for n in names]) for r in got.collect()) == sorted(str([r[i] for i in places]) for r in want.fetchall())
+
+
+def test_a_line_is_made_once(spark, tables, fix44):
+    """What is passed over, extracted and validated makes no filter on the text of lines, nor on arrays that generators take."""
+    lines = spark.range(9).select(F.lit("f").alias("file"), F.lit(0).alias("file_ordinal"), F.col("id").alias("line_no"), F.concat(F.lit("made here "), F.lit(HEARTBEAT), F.col("id").cast("string")).alias("line"))
+    own = messages.parse(messages.extract(lines))
+    found = validate.errors(own.withColumn("dict_id", F.lit(fix44)), tables)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("made here ") == 1
+    assert plan.count("(?s)8=FIX") == 1
+    assert own.count() == 9 and found.count() == 0
