@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add, and_
+from operator import add, and_, or_
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -36,8 +37,8 @@ DESCRIBED = ("exec_type", "ord_status", "side")
 TERMINAL = ("2", "3", "4", "8", "C")
 MOST_OPEN = 10_000
 IDS = ("order_id", "cl_ord_id", "orig_cl_ord_id")
-#: Places of a bucket along which open orders are summed up.
-BUCKET = 1 << 16
+#: Places of a bucket along which open orders are summed up; messages of a stream's batch that are followed at a time.
+BUCKET, SLICE = 1 << 16, 1 << 16
 LABELS = {"order": "Order", "message": "Message", "order_id": "OrderID", "cl_ord_id": "ClOrdID", "orig_cl_ord_id": "OrigClOrdID", "exec_type": "ExecType", "ord_status": "OrdStatus", "side": "Side", "symbol": "Symbol", "quantity": "OrderQty", "price": "Price", "cum_quantity": "CumQty", "leaves_quantity": "LeavesQty", "last_quantity": "LastQty", "last_price": "LastPx", "text": "Text", "events": "Events"}
 _STATE = ["key", "events", "message", *KEPT, "terminal"]
 
@@ -49,9 +50,9 @@ def terminal(own: Column | str) -> Column:
 
 def inputs(messages: DataFrame, tables: Tables, stream: list[str], order: list[str]) -> DataFrame:
     """What the fold reads of messages with fields and dict_id: ids as they are, kept values described, blank ones null."""
-    own = messages.withColumn("lookup", fix.first_value("fields", 35)).withColumn("terminal", terminal("fields"))
-    for name, tag in KEPT.items():
-        own = own.withColumn(name, fix.blank_to_null(fix.first_value("fields", tag)))
+    own = messages.select(*stream, *order, "dict_id", fix.first_value("fields", 35).alias("lookup"), *(fix.first_value("fields", tag).alias(name) for name, tag in KEPT.items()))
+    ends = reduce(or_, (F.coalesce(F.col(name).isin(*TERMINAL), F.lit(False)) for name in ("ord_status", "exec_type")))
+    own = own.select(*stream, *order, "dict_id", "lookup", *(fix.blank_to_null(name).alias(name) for name in KEPT), ends.alias("terminal"))
     names = F.broadcast(tables.messages.select("dict_id", "lookup", F.col("name").alias("_name")))
     own = own.join(names, ["dict_id", "lookup"], "left").withColumn("message", F.coalesce(F.concat("_name", F.lit(" ("), "lookup", F.lit(")")), "lookup"))
     for name in DESCRIBED:
@@ -159,9 +160,9 @@ def summaries(messages: DataFrame, tables: Tables, stream: list[str] = ("file",)
     """
     stream, order, spark = list(stream), list(order), messages.sparkSession
     path = scratch(spark, "orders")
-    kept = inputs(messages, tables, stream, order).where(F.coalesce(*IDS).isNotNull())
     clear = {c: f"_{i}" for i, c in enumerate([*stream, *order])}
-    kept.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(n) for c, n in clear.items()), "message", *KEPT, "terminal").write.parquet(path)
+    kept = inputs(messages, tables, stream, order).select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(n) for c, n in clear.items()), "message", *KEPT, "terminal")
+    kept.where(F.coalesce(*IDS).isNotNull()).write.parquet(path)  # after the rows' numbers: before them, messages are parsed once more for each id
     rows = spark.read.parquet(path)
     s, o = [clear[c] for c in stream], [clear[c] for c in order]
     told = assign(rows.select("row", *s, *o, *IDS, "terminal"), s, o, most_open)
@@ -181,7 +182,9 @@ def lines(states: DataFrame) -> DataFrame:
 class StreamFold(StatefulProcessor):
     """The open orders of a stream in the state store: each order under its key, the key of each id, orders by age.
 
-    A batch reads and writes the orders, ids and ages that its own messages touch, and no others.
+    A batch reads and writes the orders, ids and ages that its own messages touch, and no others, one by one; or, where it
+    has as many messages as orders are open, all that are open at once. What opens and ends within it is never stored. It
+    is held as Arrow columns and followed in slices.
     """
 
     def __init__(self, stream: str, order: list[str], most_open: int):
@@ -193,9 +196,17 @@ class StreamFold(StatefulProcessor):
         self.ages = handle.getMapState("ages", "age long", "key string")
         self.counts = handle.getValueState("counts", "eldest long, next long, open long")
 
+    def _sorted(self, rows: Iterator[pd.DataFrame]) -> pa.Table:
+        """The rows by place, without the stream."""
+        kinds = {**dict.fromkeys(("message", *KEPT), pa.string()), "terminal": pa.bool_()}
+        names = [*self.order, *kinds]
+        batch = pa.concat_tables([pa.table([pa.array(part[c], kinds.get(c), from_pandas=True) for c in names], names) for part in rows], promote_options="permissive")
+        return batch.take(pc.sort_indices(batch, [(c, "ascending") for c in self.order])).drop_columns(self.order)
+
     def handleInputRows(self, key, rows, timerValues):
-        opened, alias, ages = Overlay(self.open), Overlay(self.alias), Overlay(self.ages)
+        batch = self._sorted(rows)
         eldest, following, n = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        opened, alias, ages = (Overlay(state, n <= len(batch)) for state in (self.open, self.alias, self.ages))
 
         def forget(name: str) -> None:
             nonlocal n
@@ -207,34 +218,39 @@ class StreamFold(StatefulProcessor):
             ages.put((age,), None)
             n -= 1
 
-        out = []
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        batch = batch.astype(object).where(batch.notna(), None)
-        for row in batch.to_dict("records"):
-            ids = [row[c] for c in IDS if row[c] is not None]
-            if not ids:
-                continue
-            name = next((own[0] for i in ids if (own := alias.get((i,)))), ids[0])
-            if (state := opened.get((name,))) is None:
-                state = (following, 0, [], [None] * len(KEPT))
-                ages.put((following,), (name,))
-                following, n = following + 1, n + 1
-            age, events, named, kept = state
-            kept = [row[c] if row[c] is not None else was for c, was in zip(KEPT, kept, strict=True)]
-            opened.put((name,), (age, events + 1, [*named, *(i for i in dict.fromkeys(ids) if i not in named)], kept))
-            for i in ids:
-                alias.put((i,), (name,))
-            out.append((key[0], name, events + 1, row["message"], *kept, row["terminal"]))
-            if row["terminal"]:
-                forget(name)
-            elif n > self.most_open:
-                while ages.get((eldest,)) is None:
-                    eldest += 1
-                forget(ages.get((eldest,))[0])
+        for at in range(0, len(batch), SLICE):
+            part = batch.slice(at, SLICE)
+            given = [(i, part[c].to_pylist()) for i, c in enumerate(KEPT) if part[c].null_count < len(part)]
+            out = []
+            for i, (message, ends, *named) in enumerate(zip(*(part[c].to_pylist() for c in ("message", "terminal", *IDS)), strict=True)):
+                ids = [x for x in named if x is not None]
+                if not ids:
+                    continue
+                name = next((own[0] for x in ids if (own := alias.get((x,)))), ids[0])
+                if (state := opened.get((name,))) is None:
+                    state = (following, 0, (), (None,) * len(KEPT))
+                    ages.put((following,), (name,))
+                    following, n = following + 1, n + 1
+                age, events, known, kept = state
+                kept = list(kept)
+                for c, values in given:
+                    if values[i] is not None:
+                        kept[c] = values[i]
+                opened.put((name,), (age, events + 1, [*known, *(x for x in dict.fromkeys(ids) if x not in known)], kept))
+                for x in ids:
+                    alias.put((x,), (name,))
+                out.append((name, events + 1, message, *kept, ends))
+                if ends:
+                    forget(name)
+                elif n > self.most_open:
+                    while ages.get((eldest,)) is None:
+                        eldest += 1
+                    forget(ages.get((eldest,))[0])
+            if out:
+                yield pd.DataFrame({self.stream: key[0], **dict(zip(_STATE, map(list, zip(*out, strict=True)), strict=True))}, copy=False)
         for own in (opened, alias, ages):
             own.flush()
         self.counts.update((eldest, following, n))
-        yield pd.DataFrame(out, columns=[self.stream, *_STATE])
 
     def close(self) -> None:
         pass

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 
 class Overlay:
-    """What a batch asks a map state for is read once, what it changes is written once. Keys and values are tuples."""
+    """What a batch asks a map state for is read once, what it changes is written once. Keys and values are tuples.
 
-    def __init__(self, state):
-        self.state, self.seen, self.changed = state, {}, set()
+    whole: read all of the state at once; then nothing is asked for one by one, nor is it asked what is to be removed.
+    """
+
+    def __init__(self, state, whole: bool = False):
+        self.state, self.changed = state, set()
+        self.seen = dict(state.iterator()) if whole else {}
+        self.stored = frozenset(self.seen) if whole else None
 
     def get(self, key: tuple) -> tuple | None:
         if key not in self.seen:
-            self.seen[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+            self.seen[key] = self.state.getValue(key) if self.stored is None and self.state.containsKey(key) else None
         return self.seen[key]
 
     def put(self, key: tuple, value: tuple | None) -> None:
@@ -22,5 +27,5 @@ class Overlay:
         for key in self.changed:
             if self.seen[key] is not None:
                 self.state.updateValue(key, self.seen[key])
-            elif self.state.containsKey(key):
+            elif self.state.containsKey(key) if self.stored is None else key in self.stored:
                 self.state.removeKey(key)

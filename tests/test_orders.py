@@ -137,3 +137,36 @@ def test_stream_state_over_batches_and_a_restart(spark, tables, tmp_path):  # no
     want = sorted((f, key, n, a or "", s or "", q or "", ends) for f, _, key, n, a, _, _, s, q, ends in plain(rows, 6))
     assert got == want
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] < 2 * (6 * 5 + 3) + 40  # what is open in two streams, not what was
+
+
+class Store:
+    """A map state that counts what it is asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def __getattr__(self, name):
+        self.asked += 1
+        return {"getValue": self.held.__getitem__, "containsKey": self.held.__contains__, "updateValue": self.held.__setitem__, "removeKey": self.held.__delitem__, "iterator": lambda: iter(list(self.held.items()))}[name]
+
+
+def test_what_a_batch_asks_of_the_state_follows_open_orders_not_its_messages():
+    import pandas as pd
+
+    told = {}
+    for n in (300, 3000):
+        fold = orders.StreamFold("file", ["line_no"], most_open=20)
+        stores = fold.open, fold.alias, fold.ages = [Store() for _ in range(3)]
+        fold.counts = type("Counts", (), {"now": None, "exists": lambda s: s.now is not None, "get": lambda s: s.now, "update": lambda s, now: setattr(s, "now", now)})()
+        out = []
+        for first in (0, n, 2 * n):
+            own = pd.DataFrame({"line_no": range(first, first + n)})
+            for c in ("message", *orders.KEPT):
+                own[c] = None
+            own["cl_ord_id"], own["terminal"] = [f"C{i - i % 7}" for i in own["line_no"]], False
+            out += fold.handleInputRows(("f",), iter([own.iloc[n // 2 :], own.iloc[: n // 2]]), None)
+        keys = pd.concat(out)
+        assert keys["key"].tolist() == [f"C{i - i % 7}" for i in range(3 * n)] and keys["events"].tolist() == [i % 7 + 1 for i in range(3 * n)]
+        assert [len(s.held) for s in stores] == [20, 20, 20]
+        told[n] = sum(s.asked for s in stores)
+    assert told[3000] == told[300] == 3 * 60 + 2 * 60 + 9  # written, removed, read at once
