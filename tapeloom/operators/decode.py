@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import validate
 from tapeloom.operators.dictionary import Tables
-from tapeloom.operators.messages import KEYS, explode
+from tapeloom.operators.messages import KEYS, each, explode
+
+
+def _described(rows: DataFrame, tables: Tables) -> DataFrame:
+    """Rows of dict_id, tag and value with name, type and description."""
+    return rows.join(F.broadcast(tables.fields.drop("has_enums")), ["dict_id", "tag"], "left").join(F.broadcast(tables.enums), ["dict_id", "tag", "value"], "left")
 
 
 def fields(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
     """field_idx, tag, name (the number where unknown), type, value, description of every field, by broadcast joins."""
-    long = explode(messages.select(*keys, "dict_id", "fields"))
-    own = long.join(F.broadcast(tables.fields.drop("has_enums")), ["dict_id", "tag"], "left").join(F.broadcast(tables.enums), ["dict_id", "tag", "value"], "left")
+    own = _described(explode(messages.select(*keys, "dict_id", "fields")), tables)
     return own.select(*keys, "dict_id", "field_idx", "tag", F.coalesce("name", F.col("tag").cast("string")).alias("name"), "type", "value", "description")
 
 
@@ -26,19 +30,20 @@ def lines(messages: DataFrame, tables: Tables, found: DataFrame | None = None, k
 
     found: errors by validate.errors(), or None to show none. Lines of a message are ordered by at.
     """
-    own = fields(messages, tables, keys)
-    text = F.concat(_line(), F.when(F.trim(F.coalesce("description", F.lit(""))) != "", F.concat(F.lit(" ("), "description", F.lit(")"))).otherwise(F.lit("")))
-    head = messages.select(*keys, F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("at"), F.col("raw").alias("rendered")), F.struct(F.lit(-1).cast("long").alias("at"), F.lit("").alias("rendered")))).alias("x")).select(*keys, "x.at", "x.rendered")
-    foot = messages.select(*keys, F.lit(1 << 62).alias("at"), F.lit("").alias("rendered"))
-    shown = own.select(*keys, "dict_id", "tag", F.col("field_idx").cast("long").alias("at"), text.alias("rendered"))
+    row = lambda at, tag, value, text: F.struct(F.lit(at).cast("long").alias("at"), F.lit(tag).cast("int").alias("tag"), F.lit(value).cast("string").alias("value"), F.lit(text).cast("string").alias("text"))
+    own = F.coalesce(F.transform("fields", lambda f, i: row(i, f["tag"], f["value"], None)), F.array().cast("array<struct<at:bigint,tag:int,value:string,text:string>>"))
+    rows = F.concat(F.array(row(-2, None, None, F.col("raw")), row(-1, None, None, "")), own, F.array(row(1 << 62, None, None, "")))
+    shown = _described(each(messages, [*keys, "dict_id"], rows, "_at", "x").select(*keys, "dict_id", "x.*"), tables)
+    text = F.concat(_line(name=F.coalesce("name", F.col("tag").cast("string"))), F.when(F.trim(F.coalesce("description", F.lit(""))) != "", F.concat(F.lit(" ("), "description", F.lit(")"))).otherwise(F.lit("")))
+    shown = shown.select(*keys, "dict_id", "tag", "at", F.when(F.col("tag").isNull(), F.col("text")).otherwise(text).alias("rendered"))
     if found is None:
-        return head.unionByName(shown.select(*keys, "at", "rendered")).unionByName(foot)
+        return shown.select(*keys, "at", "rendered")
     told = validate.by_tag(found, keys)
     with_errors = shown.join(told.drop("first"), [*keys, "tag"], "left").select(*keys, "at", F.concat("rendered", F.coalesce(F.concat(F.lit("  "), "errors"), F.lit(""))).alias("rendered"))
-    absent = told.join(shown.select(*keys, "tag"), [*keys, "tag"], "left_anti").join(messages.select(*keys, "dict_id"), keys)
+    absent = told.join(shown.where("tag IS NOT NULL").select(*keys, "tag"), [*keys, "tag"], "left_anti").join(messages.select(*keys, "dict_id"), keys)
     absent = absent.join(F.broadcast(tables.fields.select("dict_id", "tag", "name")), ["dict_id", "tag"], "left")
     late = absent.select(*keys, (F.lit(1 << 40) + F.col("first.phase").cast("long") * (1 << 30) + F.col("first.place")).alias("at"), _line(name=F.coalesce("name", F.col("tag").cast("string")), value="errors").alias("rendered"))
-    return head.unionByName(with_errors).unionByName(late).unionByName(foot)
+    return with_errors.unionByName(late)
 
 
 def line_prefixes(found: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -377,3 +377,10 @@ def test_a_line_is_made_once(spark, tables, fix44):
     assert plan.count("made here ") == 1
     assert plan.count("(?s)8=FIX") == 1
     assert own.count() == 9 and found.count() == 0
+
+
+def test_lines_are_decoded_and_values_found_in_one_pass(spark, tables, fix44):
+    lines = spark.range(3).select(F.lit("f").alias("file"), F.lit(0).alias("file_ordinal"), F.col("id").alias("line_no"), F.concat(F.lit("made here "), F.lit(HEARTBEAT), F.col("id").cast("string")).alias("line"))
+    own = messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(fix44))
+    for once in (decode.lines(own, tables), obfuscate.values(lines, tables)):
+        assert once._jdf.queryExecution().optimizedPlan().toString().count("made here ") == 1
