@@ -202,6 +202,10 @@ def is_timestamp(value: Column | str) -> Column:
     return F.coalesce(value.rlike(_DAY + r"-([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{0,9})?)?\z") & _real_day(F.substring(value, 1, 8)), F.lit(False))
 
 
+#: A blank text for Arrow's regular expressions, which have no name for Java's white space.
+BLANK = r"^[\t-\r\x1c-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]*$"
+
+
 def blank(value: Column | str) -> Column:
     """Whether a text is null or all white space."""
     value = _c(value)

@@ -17,37 +17,49 @@ from pyspark.sql import functions as F
 
 from tapeloom.session import cut, ship
 
-#: Nodes that a task unites before it gives out what it has; neighbours of a node that are one share.
-RUN_NODES, HUB = 1 << 18, 1 << 14
-
-
-def united(rows: Iterator[tuple], most: int = RUN_NODES) -> Iterator[dict[int, int]]:
-    """node -> least node of its component, for runs of rows of nodes; nulls are passed over."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up[x]) != x:
-            up[x] = x = up[y]
-        return x
-
-    def settled() -> dict[int, int]:
-        return {x: root(x) for x in up}
-
-    for row in rows:
-        least = None
-        for x in row:
-            if x is not None:
-                own = root(x) if x in up else up.setdefault(x, x)
-                if least is None:
-                    least = own
-                elif own != least:
-                    least, other = min(least, own), max(least, own)
-                    up[other] = least
-        if len(up) >= most:
-            yield settled()
-            up.clear()
-    if up:
-        yield settled()
+#: Mentions of nodes that a task unites before it gives out what it has; neighbours of a node that are one share.
+RUN_NODES, HUB = 1 << 20, 1 << 14
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of a row with the one before it in the row, or with itself where it is the first; nulls are passed over."""
+    before, some, pairs = np.zeros(len(batch), np.int64), np.zeros(len(batch), bool), []
+    for column in batch.columns:
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        own = column.fill_null(0).to_numpy(zero_copy_only=False)
+        pairs.append((np.where(some, before, own)[there], own[there]))
+        before, some = np.where(there, own, before), some | there
+    u, v = zip(*pairs, strict=True)
+    return np.concatenate(u), np.concatenate(v)
+
+
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the pairs (u, v) and the least node of the component of each, all pairs at once."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[up]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]  # what is united stays so
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, above := up[up]):
+            up = above
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows that a task unites together: up to most rows beyond most pairs."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, len(batch), most):
+            held.append(_pairs(batch.slice(at, most)))
+            n += len(held[-1][0])
+            if n >= most:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _to_least(edges: DataFrame, meets: DataFrame) -> DataFrame:
@@ -90,9 +102,8 @@ def components(rows: DataFrame, most: int = RUN_NODES) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches):
-        for own in united((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), most):
-            pair = [pa.array(np.fromiter(x, np.int64, len(own))) for x in (own.keys(), own.values())]
-            yield pa.RecordBatch.from_arrays(pair, names=["node", "root"])
+        for u, v in _runs(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in united(u, v)], names=["node", "root"])
 
     found = cut(rows.mapInArrow(run, "node long, root long"))
     least = found.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"))

@@ -170,3 +170,36 @@ def test_what_a_batch_asks_of_the_state_follows_open_orders_not_its_messages():
         assert [len(s.held) for s in stores] == [20, 20, 20]
         told[n] = sum(s.asked for s in stores)
     assert told[3000] == told[300] == 3 * 60 + 2 * 60 + 9  # written, removed, read at once
+
+
+def test_what_is_kept_is_the_first_value_of_each_tag_by_one_pass_over_the_text(spark, tables):  # noqa: F811
+    """Held against the fields one by one; the fields themselves, lambdas over arrays, are not in the plan."""
+    from tapeloom.functions import fix
+    from tapeloom.operators import messages
+
+    texts = ["35=D|11=a=b|11=c|0037=x|55= |58=é漢\n2|39=2|", "35=8|37=|41=\u2007|55=\u3000\u2028|150=4|39=1|", "35=8|137=no|+11=no|x37=no|99999999999=no|11=\n|38= 5|", "11=only|", "35=D||37|=|54=1|39=C|"]
+    lines = spark.createDataFrame([("f", 0, i, enc(t)) for i, t in enumerate(texts)], "file string, file_ordinal int, line_no long, line string")
+    own = messages.parse(messages.extract(lines)).withColumn("dict_id", F.lit(FIX44_ID))
+    got = orders.inputs(own, tables, ["file"], ["line_no", "msg_idx"])
+    plain_kept = [c for c in orders.KEPT if c not in orders.DESCRIBED]
+    want = own.select("line_no", *(fix.blank_to_null(fix.first_value("fields", orders.KEPT[c])).alias(c) for c in plain_kept), orders.terminal("fields").alias("terminal"))
+    assert got.count() == len(texts)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 0
+
+
+def test_components_need_no_python_object_a_node():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    up = {int(x): int(x) for x in [*u, *v]}
+    for _ in range(300):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            up[a] = up[b] = min(up[a], up[b])
+    nodes, roots = linked.united(u, v)
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == up
+    batch = pa.record_batch({"a": [1, None, None, 7], "b": [None, 5, None, 8], "c": [2, None, None, 9]})
+    pairs = [x.tolist() for x in linked._pairs(batch)]
+    assert sorted(zip(*pairs, strict=True)) == [(1, 1), (1, 2), (5, 5), (7, 7), (7, 8), (8, 9)]
