@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tapeloom.functions import fix
 from tapeloom.operators import counts, decode, dictionary, explore, messages, obfuscate, orders, session, validate
@@ -520,8 +521,10 @@ def _bounded(spark, sf_dir) -> DataFrame:
 def _in_batches(lines: DataFrame, path: str, writer: Callable[[DataFrame], DataStreamWriter], parts: int = 3) -> None:
     """Runs a stream over the lines in so many batches, by line numbers; between them it is stopped and goes on from its checkpoint."""
     last = lines.agg(F.max("line_no")).first()[0] or 0
+    lines.withColumn("part", F.expr(f"line_no * {parts} div {last + 1}")).write.partitionBy("part").parquet(f"{path}/all")  # lines are made once
+    every = lines.sparkSession.read.schema(StructType([*lines.schema, StructField("part", LongType())])).parquet(f"{path}/all")
     for i in range(parts):
-        lines.where(F.expr(f"line_no * {parts} div {last + 1} = {i}")).write.mode("append").parquet(f"{path}/in")
+        every.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{path}/in")
         stream = lines.sparkSession.readStream.schema(lines.schema).parquet(f"{path}/in")
         writer(stream).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 

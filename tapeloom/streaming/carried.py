@@ -2,12 +2,13 @@
 
 Each micro-batch runs the same operators as a batch job. What a stream has negotiated is a row: a batch writes the rows of
 all streams under its number in a shared folder before its messages are given out, reads those of the batch before it, and
-drops older ones. Aliases are a map in the state store; a batch asks it for the values in its own lines. So the cost of a
-batch does not depend on how many came before. A batch that is run again does the same once more.
+drops older ones. Aliases are in the state store, a shelf of many to an entry; a batch asks for the shelves of the values in its own lines. So
+the cost of a batch does not depend on how many came before. A batch that is run again does the same once more.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -23,6 +24,8 @@ from tapeloom.session import ship, with_map_state
 from tapeloom.sources.ranges import filesystem
 
 Write = Callable[[DataFrame, int], None]
+#: Values that are one entry of the state store, on average.
+SHELF = 128
 
 
 def choose(lines: DataFrame, tables: Tables, fallback: str, folder: str, write: Write, delim: str = fix.SOH, stream: str = "file") -> DataStreamWriter:
@@ -48,31 +51,83 @@ def choose(lines: DataFrame, tables: Tables, fallback: str, folder: str, write:
     return lines.writeStream.foreachBatch(run)
 
 
+class Shelves:
+    """Ranks of values in a map state, many to an entry: a tag with n values has a shelf for each SHELF of them.
+
+    One more shelf splits one that there is (linear hashing), so a batch touches the shelves of its own values and those
+    that it splits. How many shelves there are follows from n alone, as of the last batch.
+    """
+
+    def __init__(self, state, counts, mentions: int):
+        self.counts = Overlay(counts, True)  # a row a tag
+        self.before = {tag: n for (tag,), (n,) in self.counts.seen.items()}
+        self.state = Overlay(state, sum(map(self.shelves, self.before.values())) <= mentions)
+        self.opened: dict[tuple[int, int], dict[str, int]] = {}
+        self.new: dict[int, dict[str, int]] = {}
+
+    @staticmethod
+    def shelves(n: int) -> int:
+        return -(-n // SHELF)
+
+    @staticmethod
+    def shelf(value: str, m: int) -> int:
+        """The shelf of a value where there are m."""
+        top = 1 << (m.bit_length() - 1)
+        at = zlib.crc32(value.encode("utf-8", "surrogatepass")) % (2 * top)
+        return at if at < m else at - top
+
+    def _open(self, tag: int, shelf: int) -> dict[str, int]:
+        if (own := self.opened.get((tag, shelf))) is None:
+            own = self.opened[tag, shelf] = dict(zip(*(self.state.get((tag, shelf)) or ((), ())), strict=True))
+        return own
+
+    def rank(self, tag: int, value: str) -> int:
+        """The value's rank; one that was not seen before has the next of its tag."""
+        n = self.before.get(tag, 0)
+        if n and (rank := self._open(tag, self.shelf(value, self.shelves(n))).get(value)) is not None:
+            return rank
+        new = self.new.setdefault(tag, {})
+        return new.setdefault(value, n + len(new) + 1)
+
+    def flush(self) -> None:
+        for tag, new in self.new.items():
+            n = self.before.get(tag, 0)
+            was, now = self.shelves(n), self.shelves(n + len(new))
+            split = set()
+            for at in range(was, now) if was else ():
+                while at >= was:  # the shelf that it is split from, or that one's
+                    at -= 1 << (at.bit_length() - 1)
+                split.add(at)
+            put: dict[int, dict[str, int]] = {at: {} for at in split}
+            for at in split:
+                for value, rank in self._open(tag, at).items():
+                    put.setdefault(self.shelf(value, now), {})[value] = rank
+            for value, rank in new.items():
+                if (at := self.shelf(value, now)) not in put:
+                    put[at] = dict(self._open(tag, at)) if at < was else {}
+                put[at][value] = rank
+            for at, own in put.items():
+                self.state.put((tag, at), (list(own), list(own.values())))
+            self.counts.put((tag,), (n + len(new),))
+        self.state.flush()
+        self.counts.flush()
+
+
 class Ranks(StatefulProcessor):
-    """The rank of each sensitive value among its tag's values by first appearance, in the state store by (tag, value)."""
+    """The rank of each sensitive value among its tag's values by first appearance, in the state store by tag and shelf."""
 
     def __init__(self, by: str, order: list[str], text: str):
         self.by, self.order, self.text = by, order, text
 
     def init(self, handle) -> None:
-        self.ranks = handle.getMapState("ranks", "tag int, value string", "n long")
+        self.ranks = handle.getMapState("shelves", "tag int, shelf long", "values array<string>, ranks array<long>")
         self.counts = handle.getMapState("counts", "tag int", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        ranks, counts = Overlay(self.ranks), Overlay(self.counts)
-        batch, out = pd.concat(list(rows)).sort_values(self.order, kind="stable"), []
-        for tags, values in zip(batch["tags"], batch["values"], strict=True):
-            own = []
-            for tag, value in zip(tags, values, strict=True):
-                name = (int(tag), value)
-                if (rank := ranks.get(name)) is None:
-                    rank = ((counts.get(name[:1]) or (0,))[0] + 1,)
-                    counts.put(name[:1], rank)
-                    ranks.put(name, rank)
-                own.append(rank[0])
-            out.append(own)
-        ranks.flush()
-        counts.flush()
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        known = Shelves(self.ranks, self.counts, int(batch["tags"].map(len).sum()))
+        out = [[known.rank(int(tag), value) for tag, value in zip(tags, values, strict=True)] for tags, values in zip(batch["tags"], batch["values"], strict=True)]
+        known.flush()
         yield pd.DataFrame({self.by: key[0], **{c: batch[c] for c in (*self.order, self.text)}, "ranks": out})
 
     def close(self) -> None:

@@ -54,3 +54,51 @@ def test_lengths_and_checksums_are_right(spark, tables):  # noqa: F811
     right = found.select((fix.int_value(fix.last_value("fields", 9)) == fix.expected_length("raw")).alias("a"), (fix.int_value(fix.last_value("fields", 10)) == fix.expected_checksum("raw")).alias("b"))
     n, a, b = right.agg(F.count("*"), F.count_if("a"), F.count_if("b")).first()
     assert n == a == b > 200
+
+
+class Store(dict):
+    """A map state that counts what it is asked."""
+
+    calls = 0
+
+    def _counted(self, value=None):
+        self.calls += 1
+        return value
+
+    def iterator(self):
+        return self._counted(iter(list(self.items())))
+
+    def containsKey(self, key):
+        return self._counted(key in self)
+
+    def getValue(self, key):
+        return self._counted(self[key])
+
+    def updateValue(self, key, value):
+        self._counted(self.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._counted(self.pop(key))
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 5000])
+def test_ranks_in_shelves_are_those_of_a_plain_map(monkeypatch, size):
+    """Whatever the batches; the store is asked for shelves, not for values."""
+    from tapeloom.streaming import carried
+
+    monkeypatch.setattr(carried, "SHELF", 4 if size < 5000 else 128)
+    rng = random.Random(size)
+    told = [(rng.choice((49, 56)), f"é{rng.randrange(400 if size < 5000 else 40_000)}") for _ in range(600 if size < 5000 else 20_000)]
+    state, counts, plain = Store(), Store(), {}
+    for at in range(0, len(told), size):
+        part = told[at : at + size]
+        known = carried.Shelves(state, counts, len(part))
+        for tag, value in part:
+            own = plain.setdefault(tag, {})
+            assert known.rank(tag, value) == own.setdefault(value, len(own) + 1)
+        known.flush()
+    for tag, own in plain.items():
+        m = carried.Shelves.shelves(len(own))
+        assert {v: r for (t, s), (vs, rs) in state.items() if t == tag for v, r in zip(vs, rs, strict=True)} == own
+        assert all(s == carried.Shelves.shelf(v, m) for (t, s), (vs, _) in state.items() if t == tag for v in vs)
+    assert size < 5000 or state.calls + counts.calls < 2_000  # of more than ten thousand values
