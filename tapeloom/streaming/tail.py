@@ -1,7 +1,8 @@
 """Following files that grow: a streaming source of their new lines or messages, read by executors.
 
 The offset is how far each file is read, by bytes; the driver asks for sizes only. What lies between two offsets of a
-file is one partition, at most maxBytes long. A task takes up what was left open where it starts, gives out what ends in
+file is one partition, read in pieces of at most maxBytes, of which a task holds one. A batch takes a piece of each file;
+of a file that it is behind with, as much again as was read of it before, so that a long file takes few batches. A task takes up what was left open where it starts, gives out what ends in
 its part, and leaves a mark in the shared folder of where it stands: the line's number, how many messages that line has
 given, and where what is still open begins. So no line is counted twice, and what waits is read again, not held. Marks
 are made anew by reading from an earlier one where they are missing, and are the same however often a task runs; what is
@@ -150,7 +151,7 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        """At most maxBytes beyond what was planned last, which is kept in the shared folder for a reader that starts anew."""
+        """At most maxBytes, or as much again as was read of the file, beyond what was planned last, which is kept in the shared folder for a reader that starts anew."""
         if self.planned is None:
             self.planned = json.loads(self._get("planned") or "{}")
         now = dict(self.planned)
@@ -158,7 +159,7 @@ class TailReader(DataSourceStreamReader):
             own = now.get(file, {"life": 0, "to": 0})
             if size < own["to"]:
                 own = {"life": own["life"] + 1, "to": 0}
-            now[file] = {"life": own["life"], "to": min(size, own["to"] + self.most)}
+            now[file] = {"life": own["life"], "to": min(size, own["to"] + max(self.most, own["to"]))}
         if now != self.planned:
             self.planned = now
             self._put("planned", json.dumps(now))
@@ -278,7 +279,7 @@ def follow(spark: SparkSession, path: str, marks: str | None = None, **options:
     """The streaming lines of the files that a glob names, or messages with give="messages".
 
     marks: a shared folder of the stream's own, the same again for a stream that is to go on after a restart with batches
-    within maxBytes; a new one by default.
+    within bounds; a new one by default. maxBytes: the most that a task reads at a time.
     """
     ship(spark)
     spark.dataSource.register(TailSource)

@@ -143,3 +143,19 @@ def test_the_driver_opens_no_followed_file(tmp_path, make, monkeypatch):
     monkeypatch.setattr(tail, "filesystem", lambda uri: (Listing(real(uri)[0]), real(uri)[1]))
     end = reader.latestOffset()
     assert [(p.at, p.upto) for p in reader.partitions({}, end)] == [(0, 100)]
+
+
+@pytest.mark.parametrize("give_messages", [False, True])
+def test_a_long_file_takes_few_batches_in_pieces_that_fit(tmp_path, make, monkeypatch, give_messages):
+    """Batches grow with what was read; a task still reads no more than maxBytes and what waits at a time."""
+    (tmp_path / "a.log").write_text(f"x {A}{B}\n" * 1000)
+    reader, reads = make(most=200, pending=400, give_messages=give_messages), []
+    real = reader._given
+    monkeypatch.setattr(reader, "_given", lambda data, mark, base: reads.append(len(data)) or real(data, mark, base))
+    at, batches, rows = {}, 0, []
+    while parts := reader.partitions(at, end := reader.latestOffset()):
+        rows += [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        reader.commit(end)
+        at, batches = end, batches + 1
+    assert [r[2:] for r in rows] == [r for n in range(1, 1001) for r in ([(n, 0, A), (n, 1, B)] if give_messages else [(n, f"x {A}{B}")])]
+    assert batches < 15 and max(reads) <= 200 + 400
