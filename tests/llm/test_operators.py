@@ -729,3 +729,101 @@ def test_kneser_ney_sums_to_one():
     assert models.words(["the", "quiz", "zzz"])[:, 0] == pytest.approx(slow)
 
 
+
+
+def _plain_skip_scores(v, rows, weight):
+    """The model with its skip feature, by dictionaries of own keys: the pair and the skip feature are learned from the last word's odds."""
+    paths = []
+    for t in rows[0]:
+        _, node, second, bias = v.expand(np.array([t], np.uint32))
+        paths.append([(int(h), 1 if s else -1, float(b) * (1 if s else -1)) for h, s, b in zip(node, second, bias, strict=True)])
+
+    def steps(columns, z, prior):
+        up, down, keys = Counter(), Counter(), [tuple(x) for x in rows[columns].T.tolist()]
+        for key, path, odds, w in zip(keys, paths, z, weight, strict=True):
+            for (h, sign, _), x in zip(path, odds, strict=True):
+                p = 1 / (1 + math.exp(-x))
+                up[key, h] += w * sign * (1 - p)
+                down[key, h] += w * p * (1 - p)
+        return [[sign * up[key, h] / (down[key, h] + prior) for h, sign, _ in path] for key, path in zip(keys, paths, strict=True)]
+
+    add = lambda *every: [[sum(x) for x in zip(*own, strict=True)] for own in zip(*every, strict=True)]
+    z = [[x for _, _, x in path] for path in paths]
+    z = add(z, steps([1], z, 0.6))
+    z = add(z, steps([1, 2], z, 0.4), steps([1, 3], z, 0.4))
+    z = add(z, steps([1, 2, 3], z, 0.4))
+    return np.array([-sum(math.log1p(math.exp(-x)) for x in odds) for odds in z])
+
+
+def _skip_model(monkeypatch):
+    monkeypatch.setattr(maxent, "slots", lambda f, n, bits: np.unique(f.astype(np.int64) << 32 | n, return_inverse=True)[1])
+    monkeypatch.setattr(maxent, "table_bits", lambda steps: 18)
+    rng = np.random.default_rng(9)
+    words = [b"w%d" % i for i in range(30)] + [b"\n"]
+    v = maxent.Vocabulary(words, np.arange(1, 32) * 7, 20_000, len(words) + 600)
+    pool = np.array([*range(31), *(maxent.rare_code(b"w%d" % i) for i in range(1000, 1040))], np.uint32)
+    rows, inverse = maxent._distinct(pool[np.minimum(rng.geometric(0.12, (4, 2000)), len(pool)) - 1])
+    return v, pool, rows, np.bincount(inverse, weights=rng.integers(0, 2, 2000))
+
+
+def test_maxent_skip_feature_learns_what_plain_sums_give(monkeypatch):
+    v, pool, rows, weight = _skip_model(monkeypatch)
+    assert maxent.learn_and_score(v, rows, weight, skip=True) == pytest.approx(_plain_skip_scores(v, rows, weight), abs=0.02)
+    leaves = np.array([*range(len(v.words)), *((1 << 31) | (i << (31 - v.bits)) for i in range(1 << v.bits))], np.uint32)
+    for context in ([0, 1, 2], [3, 3, 0], [int(pool[-1]), 0, 1], [maxent._PAD] * 3):
+        asked = np.vstack([leaves, *(np.full(len(leaves), c, np.uint32) for c in context)])
+        got = maxent.learn_and_score(v, np.concatenate([rows, asked], axis=1), np.append(weight, np.zeros(len(leaves))), skip=True)
+        assert np.exp(got[rows.shape[1] :]).sum() == pytest.approx(1, abs=1e-4)
+    learned = weight > 0
+    alone = maxent.learn_and_score(v, rows[:, learned], weight[learned], skip=True)
+    assert maxent.learn_and_score(v, rows, weight, skip=True)[learned] == pytest.approx(alone, abs=0.02)
+
+
+def test_maxent_skip_counts_stand_for_tokens_elsewhere(monkeypatch):
+    """Where a last word's tokens are dealt by the word before, the skip feature's weights are still learned from all of them."""
+    v, pool, rows, weight = _skip_model(monkeypatch)
+    whole = maxent.learn_and_score(v, rows, weight, skip=True)
+    common = pool[:3]
+    dealt = np.isin(rows[1], common)
+    totals = []
+    for code in common:
+        targets, inverse = np.unique(rows[0, rows[1] == code], return_inverse=True)
+        totals.append((np.array([code]), targets, *(np.bincount(inverse, weights=x[rows[1] == code]) for x in (weight, weight + 1))))
+    _, *counts = maxent.skip_counts(v, rows[:, dealt], weight[dealt])
+    body = maxent._pack_counts(*counts)
+    counts = maxent._unpack_counts(body, 4 * (2 + 5 * len(counts[0]) + len(counts[-1])))[:-1]
+    for k in range(3):
+        some = np.flatnonzero(dealt & (rows[2] % 3 == k) | ~dealt & (k == 0))
+        args = v, rows[:, some], weight[some], totals, True
+        assert maxent.learn_and_score(*args, maxent.Given(common, *counts)) == pytest.approx(whole[some], abs=0.02)
+        assert np.abs(maxent.learn_and_score(*args) - whole[some]).max() > 0.5
+
+
+def test_maxent_scores_by_skip_features_however_contexts_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = np.array(["the", "of", "a", *(f"n{i}" for i in range(40))])
+    texts = [" ".join(pool[np.minimum(rng.geometric(0.2, 60), len(pool)) - 1]) for _ in range(80)]
+    texts += [f"key{i % 4} m{i} the lock{i % 4}" for i in range(60)]  # the third last word tells the next one, the second last does not
+    asked = [f"key{i} unseen the lock{j}" for i in range(4) for j in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts + asked)), "doc_id long, text string").repartition(3)
+    learned = F.col("doc_id") < len(texts)
+
+    def scores(frequent):
+        rows = maxent.score(docs, maxent.fit(docs, learned, frequent=frequent), learned).collect()
+        return np.array([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+
+    whole = scores(500)
+    for i in range(4):
+        own = whole[len(texts) + 4 * i :][:4]
+        assert own[i] > max(np.delete(own, i)) + 0.5  # in log10
+    monkeypatch.setattr(maxent, "LARGE", 200)
+    monkeypatch.setattr(maxent, "HOT", 50)
+    model = maxent.fit(docs, learned, frequent=500)
+    assert len(model.contexts.keys[0]) > 3 and len(model.contexts.keys[1])
+    dealt = scores(500)
+    assert dealt == pytest.approx(whole, rel=0.03)  # what collisions in small tables make
+    assert dealt.sum() == pytest.approx(whole.sum(), rel=0.01)
+    monkeypatch.setattr(maxent, "SHARD", 20)
+    assert maxent.fit(docs, learned, frequent=500).vocabulary.shards > 4 * maxent.GROUP
+    many = scores(500)
+    assert many == pytest.approx(whole, rel=0.15) and many.sum() == pytest.approx(whole.sum(), rel=0.01)
