@@ -827,3 +827,49 @@ def test_maxent_scores_by_skip_features_however_contexts_are_dealt(spark, monkey
     assert maxent.fit(docs, learned, frequent=500).vocabulary.shards > 4 * maxent.GROUP
     many = scores(500)
     assert many == pytest.approx(whole, rel=0.15) and many.sum() == pytest.approx(whole.sum(), rel=0.01)
+
+
+def test_maxent_packs_events_whole_and_small():
+    """Every event of a block comes back, with its text, shard and whether it is learned from; sorted contexts take fewer bytes."""
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 30_000):
+        codes = np.minimum(rng.zipf(1.3, (4, n)), 60_000).astype(np.uint32)
+        codes[:, rng.random(n) < 0.05] |= np.uint32(1 << 31)
+        shard, doc = rng.integers(0, 3, n) * 7, rng.integers(0, 5000, n).astype(np.uint32)
+        order = np.lexsort((codes[2], codes[1], shard))
+        codes, shard, doc = np.ascontiguousarray(codes[:, order]), shard[order], doc[order]
+        body = maxent._pack_events(codes, doc, shard, 4500)
+        rows, docs, learned, shards = maxent._unpack_events(body, n)
+        assert (rows == codes).all() and (docs == doc).all() and (shards == shard).all() and (learned == (doc < 4500)).all()
+    plain = maxent._pack(codes[0], np.diff(codes[1], prepend=np.uint32(0)), codes[2], codes[3], np.diff(doc, prepend=np.uint32(0)), doc < 4500)
+    assert len(body) < 0.95 * len(plain)
+
+
+def test_maxent_finds_words_among_those_of_their_leaves():
+    """Counts by two hashes, the mass of the leaf, and sums by text, as plain look-ups give them; words may share the first hash."""
+    rng = np.random.default_rng(6)
+    bits, top = 4, np.uint64(60)
+    h = np.append(rng.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2), [np.uint64(77 << 50)] * 3)
+    k, c = np.arange(43, dtype=np.uint32)[::-1].copy(), rng.integers(1, 50, 43)
+    c[5] = 3 << 33
+    asked = rng.integers(0, 43, 300)
+    doc, times = np.sort(rng.integers(0, 20, 300)).astype(np.uint32), rng.integers(1, 4, 300).astype(np.uint32)
+    h_asked, k_asked = h[asked], np.where(rng.random(300) < 0.3, 99, k[asked]).astype(np.uint32)  # the second hash tells who is unknown
+    h_asked[:5] += np.uint64(1)
+    order, by = np.argsort(h), np.argsort(h_asked)
+    size, body = maxent._pack_words(h[order], k[order], c[order] >> 32, c[order])
+    size_asked, body_asked = maxent._pack_words(h_asked[by], k_asked[by], doc[by], times[by])
+    known, blocks = [maxent._unpack_words(body, size)], [maxent._unpack_words(body_asked, size_asked)]
+    for some in (known, []):
+        table = dict(zip(zip(h.tolist(), k.tolist(), strict=True), c.tolist(), strict=True)) if some else {}
+        want = Counter()
+        for x, y, d, t in zip(h_asked.tolist(), k_asked.tolist(), doc.tolist(), times.tolist(), strict=True):
+            own = [n for (z, _), n in table.items() if z >> int(top) == x >> int(top)]
+            count, within = table.get((x, y), 0), sum(own) + 0.1 * (len(own) + 1)
+            want[d, 0] += t * (math.log10(count + 0.1) - math.log10(0.1))
+            want[d, 1] += t * math.log10((count + 0.1) / within)
+            want[d, 2] += t * (count > 0)
+        (there, *sums), = maxent._find_words(some, blocks, bits, 0.1)
+        assert there.tolist() == sorted(set(doc.tolist()))
+        for i, own in enumerate(sums):
+            assert own == pytest.approx([want[d, i] for d in there.tolist()], rel=1e-9, abs=1e-9)
