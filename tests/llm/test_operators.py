@@ -873,3 +873,14 @@ def test_maxent_finds_words_among_those_of_their_leaves():
         assert there.tolist() == sorted(set(doc.tolist()))
         for i, own in enumerate(sums):
             assert own == pytest.approx([want[d, i] for d in there.tolist()], rel=1e-9, abs=1e-9)
+
+
+def test_maxent_deals_words_outside_the_table_over_groups(monkeypatch):
+    """A leaf's words are in one group, and no group has much more than its share of them."""
+    monkeypatch.setattr(maxent, "LARGE", 1000)
+    v = maxent.Vocabulary([b"a", b"\n"], np.array([50, 50]), 40_100, 5002)
+    assert v.rare_groups > 30
+    h = np.random.default_rng(3).integers(0, 1 << 63, 40_000).astype(np.uint64) * np.uint64(2)
+    group, leaf = v.rare_group(h) - v.groups, h >> np.uint64(64 - v.bits)
+    assert len(np.unique(np.stack([leaf, group.astype(np.uint64)]), axis=1).T) == len(np.unique(leaf))
+    assert group.min() == 0 and group.max() == v.rare_groups - 1 and np.bincount(group).max() < 1300
