@@ -28,6 +28,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from tapeloom.functions import fix
 from tapeloom.operators import linked
 from tapeloom.operators.dictionary import Tables
+from tapeloom.operators.ordered import Ordered
 from tapeloom.operators.overlay import Overlay
 from tapeloom.session import cut, scratch, ship, with_map_state
 
@@ -39,7 +40,7 @@ TERMINAL = ("2", "3", "4", "8", "C")
 MOST_OPEN = 10_000
 IDS = ("order_id", "cl_ord_id", "orig_cl_ord_id")
 #: Places of a bucket along which open orders are summed up; messages of a stream's batch that are followed at a time.
-BUCKET, SLICE = 1 << 16, 1 << 16
+BUCKET, SLICE = 1 << 16, 1 << 14
 LABELS = {"order": "Order", "message": "Message", "order_id": "OrderID", "cl_ord_id": "ClOrdID", "orig_cl_ord_id": "OrigClOrdID", "exec_type": "ExecType", "ord_status": "OrdStatus", "side": "Side", "symbol": "Symbol", "quantity": "OrderQty", "price": "Price", "cum_quantity": "CumQty", "leaves_quantity": "LeavesQty", "last_quantity": "LastQty", "last_price": "LastPx", "text": "Text", "events": "Events"}
 _STATE = ["key", "events", "message", *KEPT, "terminal"]
 
@@ -217,8 +218,9 @@ class StreamFold(StatefulProcessor):
     """The open orders of a stream in the state store: each order under its key, the key of each id, orders by age.
 
     A batch reads and writes the orders, ids and ages that its own messages touch, and no others, one by one; or, where it
-    has as many messages as orders are open, all that are open at once. What opens and ends within it is never stored. It
-    is held as Arrow columns and followed in slices.
+    has as many messages as orders are open, all that are open at once. What opens and ends within it is never stored, nor
+    held on to. Its messages are put in order by runs in a temporary file and followed in slices, so memory follows the
+    open orders, not the batch.
     """
 
     def __init__(self, stream: str, order: list[str], most_open: int):
@@ -230,15 +232,16 @@ class StreamFold(StatefulProcessor):
         self.ages = handle.getMapState("ages", "age long", "key string")
         self.counts = handle.getValueState("counts", "eldest long, next long, open long")
 
-    def _sorted(self, rows: Iterator[pd.DataFrame]) -> pa.Table:
-        """The rows by place, without the stream."""
-        kinds = {**dict.fromkeys(("message", *KEPT), pa.string()), "terminal": pa.bool_()}
-        names = [*self.order, *kinds]
-        batch = pa.concat_tables([pa.table([pa.array(part[c], kinds.get(c), from_pandas=True) for c in names], names) for part in rows], promote_options="permissive")
-        return batch.take(pc.sort_indices(batch, [(c, "ascending") for c in self.order])).drop_columns(self.order)
+    def _tables(self, rows: Iterator[pd.DataFrame]) -> Iterator[pa.Table]:
+        """The rows as Arrow columns, without the stream."""
+        kinds = {**dict.fromkeys(self.order), **dict.fromkeys(("message", *KEPT), pa.string()), "terminal": pa.bool_()}
+        for part in rows:
+            table = pa.table([pa.array(part[c], kind, from_pandas=True) for c, kind in kinds.items()], list(kinds))
+            kinds |= {c: table.schema.field(c).type for c in self.order}  # those of the first rows
+            yield table
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = self._sorted(rows)
+        batch = Ordered(self._tables(rows), self.order)
         eldest, following, n = self.counts.get() if self.counts.exists() else (0, 0, 0)
         opened, alias, ages = (Overlay(state, n <= len(batch)) for state in (self.open, self.alias, self.ages))
 
@@ -252,8 +255,7 @@ class StreamFold(StatefulProcessor):
             ages.put((age,), None)
             n -= 1
 
-        for at in range(0, len(batch), SLICE):
-            part = batch.slice(at, SLICE)
+        for part in batch.slices(SLICE):
             given = [(i, part[c].to_pylist()) for i, c in enumerate(KEPT) if part[c].null_count < len(part)]
             out = []
             for i, (message, ends, *named) in enumerate(zip(*(part[c].to_pylist() for c in ("message", "terminal", *IDS)), strict=True)):
@@ -282,6 +284,7 @@ class StreamFold(StatefulProcessor):
                     forget(ages.get((eldest,))[0])
             if out:
                 yield pd.DataFrame({self.stream: key[0], **dict(zip(_STATE, map(list, zip(*out, strict=True)), strict=True))}, copy=False)
+        batch.close()
         for own in (opened, alias, ages):
             own.flush()
         self.counts.update((eldest, following, n))

@@ -6,7 +6,8 @@ from __future__ import annotations
 class Overlay:
     """What a batch asks a map state for is read once, what it changes is written once. Keys and values are tuples.
 
-    whole: read all of the state at once; then nothing is asked for one by one, nor is it asked what is to be removed.
+    whole: read all of the state at once; then nothing is asked for one by one, nor is it asked what is to be removed, and
+    what is put and taken away again within the batch leaves nothing behind.
     """
 
     def __init__(self, state, whole: bool = False):
@@ -15,11 +16,17 @@ class Overlay:
         self.stored = frozenset(self.seen) if whole else None
 
     def get(self, key: tuple) -> tuple | None:
+        if self.stored is not None:
+            return self.seen.get(key)
         if key not in self.seen:
-            self.seen[key] = self.state.getValue(key) if self.stored is None and self.state.containsKey(key) else None
+            self.seen[key] = self.state.getValue(key) if self.state.containsKey(key) else None
         return self.seen[key]
 
     def put(self, key: tuple, value: tuple | None) -> None:
+        if value is None and self.stored is not None and key not in self.stored:
+            self.seen.pop(key, None)
+            self.changed.discard(key)
+            return
         self.seen[key] = value
         self.changed.add(key)
 
