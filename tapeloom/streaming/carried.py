@@ -9,9 +9,12 @@ the cost of a batch does not depend on how many came before. A batch that is run
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
@@ -19,13 +22,14 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from tapeloom.functions import fix
 from tapeloom.operators import messages, obfuscate, session
 from tapeloom.operators.dictionary import Tables
+from tapeloom.operators.ordered import Ordered
 from tapeloom.operators.overlay import Overlay
 from tapeloom.session import ship, with_map_state
 from tapeloom.sources.ranges import filesystem
 
 Write = Callable[[DataFrame, int], None]
-#: Values that are one entry of the state store, on average.
-SHELF = 128
+#: Values that are one entry of the state store, on average; lines of a stream's batch that are given out at a time.
+SHELF, SLICE = 128, 1 << 13
 
 
 def choose(lines: DataFrame, tables: Tables, fallback: str, folder: str, write: Write, delim: str = fix.SOH, stream: str = "file") -> DataStreamWriter:
@@ -113,8 +117,77 @@ class Shelves:
         self.counts.flush()
 
 
+def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its places."""
+    at = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[at])) + 1
+    for own in np.split(at, cuts) if len(at) else ():
+        yield int(keys[own[0]]), own
+
+
+def ranks(state, counts, told: dict[int, pa.Array]) -> dict[int, np.ndarray]:
+    """The ranks of each tag's distinct values, given in the order in which they appear; what is new is stored.
+
+    As Shelves gives them, but a shelf at a time: it is read, its values are looked up, and it is let go. One that gets
+    values or is split is read once more.
+    """
+    before = {tag: n for (tag,), (n,) in counts.iterator()}
+    m = {tag: Shelves.shelves(n) for tag, n in before.items()}
+    out, asked = {}, {}
+    for tag, values in told.items():
+        out[tag] = np.zeros(len(values), np.int64)
+        asked[tag] = dict(_by(_shelves(values, m[tag]))) if m.get(tag) else {}
+    wanted = sum(map(len, asked.values()))
+    if sum(m.values()) <= 2 * wanted:
+        found = state.iterator()
+    else:
+        found = (((tag, shelf), state.getValue((tag, shelf))) for tag, own in asked.items() for shelf in own if state.containsKey((tag, shelf)))
+    for (tag, shelf), (values, known) in found:
+        if tag in asked and (at := asked[tag].get(shelf)) is not None:
+            own = dict(zip(values, known, strict=True))
+            out[tag][at] = [own.get(x, 0) for x in told[tag].take(pa.array(at)).to_pylist()]
+    for tag, values in told.items():
+        new = np.flatnonzero(out[tag] == 0)
+        if len(new):
+            n = before.get(tag, 0)
+            out[tag][new] = np.arange(n + 1, n + 1 + len(new))
+            _put(state, tag, values.take(pa.array(new)), n)
+            counts.updateValue((tag,), (n + len(new),))
+    return out
+
+
+def _shelves(values: pa.Array, m: int) -> np.ndarray:
+    out = np.empty(len(values), np.int64)
+    for at in range(0, len(values), 1 << 16):
+        out[at : at + (1 << 16)] = [Shelves.shelf(x, m) for x in values.slice(at, 1 << 16).to_pylist()]
+    return out
+
+
+def _put(state, tag: int, values: pa.Array, n: int) -> None:
+    """Stores values whose ranks follow n, the number of those that there are; a shelf's values stay in it or go to those that are split from it."""
+    was, now = Shelves.shelves(n), Shelves.shelves(n + len(values))
+    fresh = dict(_by(_shelves(values, was or now)))
+    for at in range(was, now) if was else ():
+        while at >= was:  # the shelf that it is split from, or that one's
+            at -= 1 << (at.bit_length() - 1)
+        fresh.setdefault(at, np.empty(0, np.int64))
+    for shelf, at in fresh.items():
+        old = state.getValue((tag, shelf)) if was and state.containsKey((tag, shelf)) else ((), ())
+        own = {*zip(*old, strict=True), *zip(values.take(pa.array(at)).to_pylist(), (at + n + 1).tolist(), strict=True)}
+        put: dict[int, tuple[list[str], list[int]]] = {shelf: ([], [])} if was else {}
+        for value, rank in sorted(own, key=lambda x: x[1]):
+            to = put.setdefault(Shelves.shelf(value, now), ([], []))
+            to[0].append(value)
+            to[1].append(rank)
+        for to, told in put.items():
+            state.updateValue((tag, to), told)
+
+
 class Ranks(StatefulProcessor):
-    """The rank of each sensitive value among its tag's values by first appearance, in the state store by tag and shelf."""
+    """The rank of each sensitive value among its tag's values by first appearance, in the state store by tag and shelf.
+
+    Of a batch, texts wait in a temporary file (Ordered); held are places, tags and values, in columns.
+    """
 
     def __init__(self, by: str, order: list[str], text: str):
         self.by, self.order, self.text = by, order, text
@@ -124,16 +197,57 @@ class Ranks(StatefulProcessor):
         self.counts = handle.getMapState("counts", "tag int", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        known = Shelves(self.ranks, self.counts, int(batch["tags"].map(len).sum()))
-        out = [[known.rank(int(tag), value) for tag, value in zip(tags, values, strict=True)] for tags, values in zip(batch["tags"], batch["values"], strict=True)]
-        known.flush()
-        yield pd.DataFrame({self.by: key[0], **{c: batch[c] for c in (*self.order, self.text)}, "ranks": out})
+        places, sizes, tags, values, kinds = [], [], [], [], dict.fromkeys(self.order)
+
+        def texts() -> Iterator[pa.Table]:
+            for part in rows:
+                table = pa.table([*(pa.array(part[c], kinds[c], from_pandas=True) for c in self.order), pa.array(part[self.text], pa.string(), from_pandas=True)], [*self.order, self.text])
+                kinds.update({c: table.schema.field(c).type for c in self.order})
+                own = pa.array(part["values"], pa.list_(pa.string()))
+                places.append(table.select(self.order))
+                sizes.append(pc.list_value_length(own).to_numpy().astype(np.int32))
+                tags.append(pa.array(part["tags"], pa.list_(pa.int32())).flatten().to_numpy())
+                values.append(own.flatten())
+                yield table
+
+        batch = Ordered(texts(), self.order)
+        order, sizes, flat = _order(pa.concat_tables(places), self.order), np.concatenate(sizes), np.concatenate(tags)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        sizes, starts = sizes[order], starts[order]
+        begin = np.cumsum(sizes, dtype=np.int64) - sizes
+        at = np.repeat(starts - begin, sizes) + np.arange(len(flat))  # of each mention in order, where it came
+        coded = pa.chunked_array(values, pa.string()).combine_chunks().dictionary_encode()
+        places = tags = values = None
+        flat, codes, names = flat[at], coded.indices.to_numpy()[at], coded.dictionary
+        told, among = {}, {}
+        for tag, own in _by(flat):
+            distinct, first, which = np.unique(codes[own], return_index=True, return_inverse=True)
+            by_first = np.argsort(first)
+            place = np.empty(len(distinct), np.int64)
+            place[by_first] = np.arange(len(distinct))
+            told[tag], among[tag] = names.take(pa.array(distinct[by_first])), (own, place[which])
+        given = np.zeros(len(flat), np.int64)
+        for tag, found in ranks(self.ranks, self.counts, told).items():
+            own, which = among.pop(tag)
+            given[own] = found[which]
+        done = 0
+        for part in batch.slices(SLICE):
+            upto = np.concatenate([[0], np.cumsum(sizes[done : done + len(part)])])
+            own = np.split(given[begin[done] : begin[done] + upto[-1]], upto[1:-1])
+            yield pd.DataFrame({self.by: key[0], **{c: part[c].to_pandas() for c in (*self.order, self.text)}, "ranks": own})
+            done += len(part)
+        batch.close()
 
     def close(self) -> None:
         pass
 
 
+def _order(places: pa.Table, order: list[str]) -> np.ndarray:
+    """The rows' places in order; those of one place as they came."""
+    own = places.append_column("_came", pa.array(np.arange(len(places))))
+    return pc.sort_indices(own, [(c, "ascending") for c in own.column_names]).to_numpy()
+
+
 def hide(lines: DataFrame, tables: Tables, write: Write, delim: str = fix.SOH, by: str = "file", line_no: str = "line_no", text: str = "line") -> DataStreamWriter:
     """The lines of a stream with sensitive values hidden: obfuscate.lines() with aliases that stay what they are from batch to batch.
 

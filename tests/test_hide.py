@@ -102,3 +102,35 @@ def test_ranks_in_shelves_are_those_of_a_plain_map(monkeypatch, size):
         assert {v: r for (t, s), (vs, rs) in state.items() if t == tag for v, r in zip(vs, rs, strict=True)} == own
         assert all(s == carried.Shelves.shelf(v, m) for (t, s), (vs, _) in state.items() if t == tag for v in vs)
     assert size < 5000 or state.calls + counts.calls < 2_000  # of more than ten thousand values
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 5000])
+def test_ranks_by_a_shelf_at_a_time_are_those_of_a_plain_map(monkeypatch, size):
+    """Whatever the batches and the order in which lines come; lines are given out in slices, and shelves are asked for once or twice."""
+    import pandas as pd
+
+    from tapeloom.operators import ordered
+    from tapeloom.streaming import carried
+
+    for name, value in (("RUN", 50), ("PIECE", 7)) if size < 5000 else ():
+        monkeypatch.setattr(ordered, name, value)
+    monkeypatch.setattr(carried, "SHELF", 4 if size < 5000 else 128)
+    monkeypatch.setattr(carried, "SLICE", 16)
+    rng, plain = random.Random(size), {}
+    fold = carried.Ranks("file", ["line_no"], "line")
+    fold.ranks, fold.counts = Store(), Store()
+    n = 300 if size < 5000 else 10_000
+    told = [[(rng.choice((49, 56)), f"é{rng.randrange(400 if size < 5000 else 40_000)}") for _ in range(rng.choice((0, 1, 3)))] for _ in range(n)]
+    for at in range(0, n, size):
+        rows = [(i, f"line {i}", [t for t, _ in told[i]], [v for _, v in told[i]]) for i in range(at, min(at + size, n))]
+        want = [(i, line, [plain.setdefault(t, {}).setdefault(v, len(plain[t]) + 1) for t, v in zip(ts, vs, strict=True)]) for i, line, ts, vs in rows]
+        rng.shuffle(rows)
+        own = pd.DataFrame(rows, columns=["line_no", "line", "tags", "values"])
+        out = list(fold.handleInputRows(("f",), iter([own.iloc[:9], own.iloc[9:]] if len(own) > 9 else [own]), None))
+        assert [(i, line, list(r)) for part in out for i, line, r in zip(part["line_no"], part["line"], part["ranks"], strict=True)] == want
+        assert size < 5000 or max(map(len, out)) == 16
+    for tag, own in plain.items():
+        m = carried.Shelves.shelves(len(own))
+        assert {v: r for (t, s), (vs, rs) in fold.ranks.items() if t == tag for v, r in zip(vs, rs, strict=True)} == own
+        assert all(s == carried.Shelves.shelf(v, m) for (t, s), (vs, _) in fold.ranks.items() if t == tag for v in vs)
+    assert size < 5000 or fold.ranks.calls < 1_000  # of more than ten thousand values
