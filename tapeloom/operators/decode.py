@@ -28,22 +28,34 @@ def _line(tag="tag", name="name", value="value"):
 def lines(messages: DataFrame, tables: Tables, found: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
     """at and rendered: each message's raw text, an empty line, its fields with their errors, and errors of tags that it lacks.
 
-    found: errors by validate.errors(), or None to show none. Lines of a message are ordered by at.
+    found: errors by validate.told() or errors(), or None to show none. Lines of a message are ordered by at. A message
+    meets its errors before it becomes lines.
     """
-    row = lambda at, tag, value, text: F.struct(F.lit(at).cast("long").alias("at"), F.lit(tag).cast("int").alias("tag"), F.lit(value).cast("string").alias("value"), F.lit(text).cast("string").alias("text"))
-    own = F.coalesce(F.transform("fields", lambda f, i: row(i, f["tag"], f["value"], None)), F.array().cast("array<struct<at:bigint,tag:int,value:string,text:string>>"))
-    rows = F.concat(F.array(row(-2, None, None, F.col("raw")), row(-1, None, None, "")), own, F.array(row(1 << 62, None, None, "")))
+    row = lambda at, tag, value, text, said: F.struct(F.lit(at).cast("long").alias("at"), F.lit(tag).cast("int").alias("tag"), F.lit(value).cast("string").alias("value"), F.lit(text).cast("string").alias("text"), F.lit(said).cast("string").alias("said"))
+    said = lambda tag: None
+    if found is not None:
+        own = F.map_from_entries(F.collect_list(F.struct("tag", "errors"))).alias("_said")
+        messages = messages.join(validate.by_tag(found, keys).groupBy(*keys).agg(own), keys, "left")
+        said = lambda tag: F.try_element_at("_said", tag)
+    own = F.coalesce(F.transform("fields", lambda f, i: row(i, f["tag"], f["value"], None, said(f["tag"]))), F.array().cast("array<struct<at:bigint,tag:int,value:string,text:string,said:string>>"))
+    rows = F.concat(F.array(row(-2, None, None, F.col("raw"), None), row(-1, None, None, "", None)), own, F.array(row(1 << 62, None, None, "", None)))
     shown = _described(each(messages, [*keys, "dict_id"], rows, "_at", "x").select(*keys, "dict_id", "x.*"), tables)
-    text = F.concat(_line(name=F.coalesce("name", F.col("tag").cast("string"))), F.when(F.trim(F.coalesce("description", F.lit(""))) != "", F.concat(F.lit(" ("), "description", F.lit(")"))).otherwise(F.lit("")))
-    shown = shown.select(*keys, "dict_id", "tag", "at", F.when(F.col("tag").isNull(), F.col("text")).otherwise(text).alias("rendered"))
+    text = F.concat(_line(name=F.coalesce("name", F.col("tag").cast("string"))), F.when(F.trim(F.coalesce("description", F.lit(""))) != "", F.concat(F.lit(" ("), "description", F.lit(")"))).otherwise(F.lit("")), F.coalesce(F.concat(F.lit("  "), "said"), F.lit("")))
+    shown = shown.select(*keys, "at", F.when(F.col("tag").isNull(), F.col("text")).otherwise(text).alias("rendered"))
     if found is None:
-        return shown.select(*keys, "at", "rendered")
-    told = validate.by_tag(found, keys)
-    with_errors = shown.join(told.drop("first"), [*keys, "tag"], "left").select(*keys, "at", F.concat("rendered", F.coalesce(F.concat(F.lit("  "), "errors"), F.lit(""))).alias("rendered"))
-    absent = told.join(shown.where("tag IS NOT NULL").select(*keys, "tag"), [*keys, "tag"], "left_anti").join(messages.select(*keys, "dict_id"), keys)
-    absent = absent.join(F.broadcast(tables.fields.select("dict_id", "tag", "name")), ["dict_id", "tag"], "left")
-    late = absent.select(*keys, (F.lit(1 << 40) + F.col("first.phase").cast("long") * (1 << 30) + F.col("first.place")).alias("at"), _line(name=F.coalesce("name", F.col("tag").cast("string")), value="errors").alias("rendered"))
-    return with_errors.unionByName(late)
+        return shown
+    if "absent" not in found.columns:
+        has = F.array_contains(F.transform("fields", lambda f: f["tag"]), F.col("tag"))
+        found = found.join(messages.select(*keys, "dict_id", "fields"), keys).withColumn("absent", ~F.coalesce(has, F.lit(False)))
+    return shown.unionByName(absent(found, tables, keys))
+
+
+def absent(found: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
+    """at and rendered: the lines of errors whose tags a message lacks, of errors by validate.told(). No other error and no message is moved for them."""
+    own = validate.by_tag(found.where("absent"), keys, ["dict_id"])
+    named = own.join(F.broadcast(tables.fields.select("dict_id", "tag", "name")), ["dict_id", "tag"], "left")
+    at = F.lit(1 << 40) + F.col("first.phase").cast("long") * (1 << 30) + F.col("first.place")
+    return named.select(*keys, at.alias("at"), _line(name=F.coalesce("name", F.col("tag").cast("string")), value="errors").alias("rendered"))
 
 
 def line_prefixes(found: DataFrame, keys: list[str] = KEYS) -> DataFrame:

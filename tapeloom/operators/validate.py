@@ -18,7 +18,7 @@ from tapeloom.functions import fix
 from tapeloom.operators.dictionary import Tables
 from tapeloom.operators.messages import KEYS, each
 
-ERROR = "phase int, place int, tag int, error string"
+ERROR = "phase int, place int, tag int, error string, absent boolean"
 _ERRORS = f"array<struct<{ERROR.replace(' ', ':').replace(',:', ',')}>>"
 
 
@@ -27,7 +27,8 @@ def _text(tag: Column) -> Column:
 
 
 def _error(phase: int, place: Column, tag: Column, text: Column) -> Column:
-    return F.struct(F.lit(phase).alias("phase"), place.cast("int").alias("place"), tag.cast("int").alias("tag"), text.alias("error"))
+    """absent: whether the message lacks the tag; a field's own never is, of a message's errors it is found for all at once."""
+    return F.struct(F.lit(phase).alias("phase"), place.cast("int").alias("place"), tag.cast("int").alias("tag"), text.alias("error"), F.lit(False).alias("absent"))
 
 
 def _checks() -> list[tuple[Column, Column]]:
@@ -79,22 +80,28 @@ def _of_message() -> Column:
 
 def errors(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
     """Every error of messages with raw, fields and dict_id: keys, phase, place, tag, error; phase and place give a message's order of report."""
+    return told(messages, tables, keys).drop("dict_id", "absent")
+
+
+def told(messages: DataFrame, tables: Tables, keys: list[str] = KEYS) -> DataFrame:
+    """errors() with the message's dict_id and absent, whether it lacks the tag, as seen where it is checked."""
     tags = F.col("tags")
     again = F.filter(F.transform(tags, lambda t, i: F.when(F.array_position(tags, t) < i + 1, t)), lambda t: t.isNotNull())
     twice = F.when(F.size(F.array_distinct(tags)) < F.size(tags), F.array_distinct(again)).otherwise(F.array().cast("array<int>"))
     own = messages.select(*keys, "dict_id", "raw", "fields", fix.expected_checksum("raw").cast("int").alias("checksum"), fix.last_value("fields", 35).alias("lookup"))
     own = own.withColumn("tags", F.transform("fields", lambda f: f["tag"])).withColumn("twice", twice)
     own = own.join(F.broadcast(tables.keys), "dict_id", "left").join(F.broadcast(tables.shapes.withColumn("known", F.lit(True))), ["dict_id", "lookup"], "left")
-    own = own.select(*keys, "dict_id", "key", "fields", F.filter(_of_message(), lambda e: e["error"].isNotNull()).alias("whole"))
+    lacking = lambda e: F.struct(*(e[c].alias(c) for c in ("phase", "place", "tag", "error")), (~F.coalesce(F.array_contains(tags, e["tag"]), F.lit(False))).alias("absent"))
+    own = own.select(*keys, "dict_id", "key", "fields", F.transform(F.filter(_of_message(), lambda e: e["error"].isNotNull()), lacking).alias("whole"))
     row = lambda tag, value, whole: F.struct(tag.cast("int").alias("tag"), value.cast("string").alias("value"), whole.cast(_ERRORS).alias("whole"))
     nothing = F.lit(None)
     rows = F.concat(F.transform("fields", lambda f: row(f["tag"], f["value"], nothing)), F.filter(F.array(row(nothing, nothing, F.col("whole"))), lambda x: F.size(x["whole"]) > 0))
     own = each(own, [*keys, "dict_id", "key"], rows, "field_idx", "x").select(*keys, "dict_id", "key", "field_idx", "x.*")
     own = own.join(F.broadcast(tables.checks), ["dict_id", "tag"], "left")
     checks = _checks()
-    told = own.where(F.col("whole").isNotNull() | reduce(or_, (F.coalesce(has, F.lit(False)) for has, _ in checks)))
+    wrong = own.where(F.col("whole").isNotNull() | reduce(or_, (F.coalesce(has, F.lit(False)) for has, _ in checks)))
     found = F.coalesce("whole", F.filter(_of_field(checks), lambda e: e["error"].isNotNull()))
-    return each(told, keys, found, "_at", "e").select(*keys, "e.phase", "e.place", "e.tag", "e.error")
+    return each(wrong, [*keys, "dict_id"], found, "_at", "e").select(*keys, "dict_id", "e.*")
 
 
 def joined(found: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -103,8 +110,8 @@ def joined(found: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return found.groupBy(*keys).agg(F.count("*").alias("n_errors"), F.array_join(listed, "; ").alias("errors"))
 
 
-def by_tag(found: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def by_tag(found: DataFrame, keys: list[str] = KEYS, more: list[str] = ()) -> DataFrame:
     """All errors of a message's tag as one text, and where the first stands."""
     one = F.struct("phase", "place", "error")
     listed = F.transform(F.array_sort(F.collect_list(one)), lambda e: e["error"])
-    return found.groupBy(*keys, "tag").agg(F.min(F.struct("phase", "place")).alias("first"), F.array_join(listed, "; ").alias("errors"))
+    return found.groupBy(*keys, *more, "tag").agg(F.min(F.struct("phase", "place")).alias("first"), F.array_join(listed, "; ").alias("errors"))

@@ -323,7 +323,7 @@ def decode_lines(spark, sf_dir):
 @query(f"""{_ERRORS} SELECT k AS line_no, concat(lpad(CAST(tag AS VARCHAR), 6, ' '), CASE tag WHEN 49 THEN ' (SenderCompID): ' ELSE '' END, error) AS rendered FROM e WHERE tag = 49""")
 def decode_absent_tags(spark, sf_dir):
     own, tables = _mutants(spark, sf_dir), _tables(spark)
-    return decode.lines(own, tables, validate.errors(own, tables)).where(F.col("at") >= 1 << 40).where("rendered <> ''").select("line_no", "rendered")
+    return decode.absent(validate.told(own, tables), tables).select("line_no", "rendered")
 
 
 # --- counts --------------------------------------------------------------------------------------------------------------
