@@ -134,3 +134,15 @@ def test_ranks_by_a_shelf_at_a_time_are_those_of_a_plain_map(monkeypatch, size):
         assert {v: r for (t, s), (vs, rs) in fold.ranks.items() if t == tag for v, r in zip(vs, rs, strict=True)} == own
         assert all(s == carried.Shelves.shelf(v, m) for (t, s), (vs, _) in fold.ranks.items() if t == tag for v in vs)
     assert size < 5000 or fold.ranks.calls < 1_000  # of more than ten thousand values
+
+
+@pytest.mark.parametrize("names", [1 << 18, 0])
+def test_rows_of_many_messages_find_their_aliases_by_place(spark, tables, monkeypatch, names):  # noqa: F811
+    """The same text, and no pass over a row's aliases for each of its messages."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(obfuscate, "MOST_NAMES", names)
+    own = lines(spark).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("line")).withColumn("line_no", F.lit(0)).cache()
+    hidden = obfuscate.lines(own, tables, many=True)
+    assert rows(hidden) == rows(obfuscate.lines(own, tables)) != rows(own)
+    assert "starts(" in hidden._jdf.queryExecution().optimizedPlan().toString()
